@@ -18,8 +18,22 @@ def p7_ids(spark: SparkSession, folder: str) -> DataFrame:
     return encode_corpus(_table(spark, folder, "documents"))
 
 
+def p8_containers(spark: SparkSession, folder: str) -> DataFrame:
+    from .packing import pack
+
+    return pack(_table(spark, folder, "documents"))
+
+
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    return p8_containers(spark, folder).where("piece > 0").select("doc_id").distinct()
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p7_ids": p7_ids}
+    return {
+        "p7_ids": p7_ids,
+        "p8_found": p8_found,
+        "p8_containers": p8_containers,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
