@@ -9,8 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 FLAGSHIP = "ox1_concepts"
 
 
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    from ..operators.shred import run_elements
+
+    return run_elements(spark.read.parquet(f"{folder}/analysis_runs.parquet"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {"p5_found": p5_found}
 
 
 def oracle_sql() -> dict[str, str]:
