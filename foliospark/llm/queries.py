@@ -12,6 +12,16 @@ def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def p2_pieces(spark: SparkSession, folder: str) -> DataFrame:
+    from .split import split_chunks
+
+    return split_chunks(_table(spark, folder, "chunks"), _table(spark, folder, "reads"))
+
+
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    return p2_pieces(spark, folder).select("read_id", "id").distinct()
+
+
 def p7_ids(spark: SparkSession, folder: str) -> DataFrame:
     from .encode import encode_corpus
 
@@ -30,6 +40,8 @@ def p8_found(spark: SparkSession, folder: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "p2_found": p2_found,
+        "p2_pieces": p2_pieces,
         "p7_ids": p7_ids,
         "p8_found": p8_found,
         "p8_containers": p8_containers,
@@ -37,4 +49,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"p2_found": "SELECT DISTINCT read_id, id FROM chunks WHERE length(text) > 4000"}
