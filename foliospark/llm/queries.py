@@ -22,6 +22,20 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     return p2_pieces(spark, folder).select("read_id", "id").distinct()
 
 
+def p6_clean_reads(spark: SparkSession, folder: str) -> DataFrame:
+    from .residue import flag_residue
+
+    reads = _table(spark, folder, "reads")
+    flags = flag_residue(reads).groupBy("read_id").agg(F.max("residue").alias("residue"))
+    return reads.join(flags.where("residue"), "read_id", "left_anti")
+
+
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    from .residue import flag_residue
+
+    return flag_residue(_table(spark, folder, "reads")).where("residue").select("read_id").distinct()
+
+
 def p7_ids(spark: SparkSession, folder: str) -> DataFrame:
     from .encode import encode_corpus
 
@@ -42,6 +56,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "p2_found": p2_found,
         "p2_pieces": p2_pieces,
+        "p6_found": p6_found,
+        "p6_clean_reads": p6_clean_reads,
         "p7_ids": p7_ids,
         "p8_found": p8_found,
         "p8_containers": p8_containers,
