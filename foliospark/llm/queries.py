@@ -22,6 +22,18 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     return p2_pieces(spark, folder).select("read_id", "id").distinct()
 
 
+def p4_main_text(spark: SparkSession, folder: str) -> DataFrame:
+    from .boilerplate import main_text
+
+    return main_text(_table(spark, folder, "reads"), _table(spark, folder, "papers")).distinct()
+
+
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    from .boilerplate import furniture_lines
+
+    return furniture_lines(_table(spark, folder, "reads"), _table(spark, folder, "papers")).distinct()
+
+
 def p6_clean_reads(spark: SparkSession, folder: str) -> DataFrame:
     from .residue import flag_residue
 
@@ -56,6 +68,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "p2_found": p2_found,
         "p2_pieces": p2_pieces,
+        "p4_found": p4_found,
+        "p4_main_text": p4_main_text,
         "p6_found": p6_found,
         "p6_clean_reads": p6_clean_reads,
         "p7_ids": p7_ids,
