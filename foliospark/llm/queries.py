@@ -22,6 +22,19 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     return p2_pieces(spark, folder).select("read_id", "id").distinct()
 
 
+def p3_feeds(spark: SparkSession, folder: str) -> DataFrame:
+    from .truncation import cut_by_feed, judge_ends
+
+    return cut_by_feed(judge_ends(_table(spark, folder, "evidence"), _table(spark, folder, "reads")))
+
+
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    from .truncation import judge_ends
+
+    judged = judge_ends(_table(spark, folder, "evidence"), _table(spark, folder, "reads"))
+    return judged.where("cut").select("origin", "doc_id", "item_id").distinct()
+
+
 def p4_main_text(spark: SparkSession, folder: str) -> DataFrame:
     from .boilerplate import main_text
 
@@ -68,6 +81,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "p2_found": p2_found,
         "p2_pieces": p2_pieces,
+        "p3_found": p3_found,
+        "p3_feeds": p3_feeds,
         "p4_found": p4_found,
         "p4_main_text": p4_main_text,
         "p6_found": p6_found,
