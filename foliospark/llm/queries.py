@@ -12,6 +12,18 @@ def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def p1_repaired(spark: SparkSession, folder: str) -> DataFrame:
+    from .scans import repair_reads
+
+    return repair_reads(_table(spark, folder, "reads")).distinct()
+
+
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    from .scans import spoiled_lines
+
+    return spoiled_lines(_table(spark, folder, "reads"), _table(spark, folder, "paragraphs"))
+
+
 def p2_pieces(spark: SparkSession, folder: str) -> DataFrame:
     from .split import split_chunks
 
@@ -79,6 +91,8 @@ def p8_found(spark: SparkSession, folder: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "p1_found": p1_found,
+        "p1_repaired": p1_repaired,
         "p2_found": p2_found,
         "p2_pieces": p2_pieces,
         "p3_found": p3_found,
