@@ -89,6 +89,18 @@ def p8_found(spark: SparkSession, folder: str) -> DataFrame:
     return p8_containers(spark, folder).where("piece > 0").select("doc_id").distinct()
 
 
+def p9_levels(spark: SparkSession, folder: str) -> DataFrame:
+    from .reading import reading_levels
+
+    return reading_levels(_table(spark, folder, "documents"), _table(spark, folder, "reading_refs"))
+
+
+def p9_found(spark: SparkSession, folder: str) -> DataFrame:
+    from .reading import MIN_WORDS
+
+    return p9_levels(spark, folder).where(F.col("english") & (F.col("n_words") >= MIN_WORDS) & (F.round("level") == 5)).select("doc_id").distinct()
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "p1_found": p1_found,
@@ -104,6 +116,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p7_ids": p7_ids,
         "p8_found": p8_found,
         "p8_containers": p8_containers,
+        "p9_found": p9_found,
+        "p9_levels": p9_levels,
     }
 
 

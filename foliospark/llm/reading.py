@@ -1,0 +1,201 @@
+"""Reading level of each document's prose, by a familiar-word formula.
+
+The level is a function of two numbers: the share of words outside a list of familiar words, and the
+average sentence length. The list is the head of the corpus's words by document frequency, counted over
+the prose of all documents. The weights of both numbers, and the length of the list, are fitted on
+passages of known level; the length is chosen by leaving passages out.
+"""
+
+from __future__ import annotations
+
+import re
+from collections import Counter
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .grams import slices
+
+#: Words kept with their document frequencies, the most frequent first; bounds the model.
+MAX_WORDS = 50_000
+#: Lengths of the list of familiar words that are tried.
+SIZES = (100, 150, 200, 300, 500, 1000, 2000, 3000)
+#: Passages of known level that are used at most.
+MAX_PASSAGES = 5_000
+MIN_WORDS = 40
+#: Sentences longer than this count as this long.
+LONGEST = 60
+
+_WORD = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*")
+_BLOCKS = re.compile(
+    r"(?ms)^[ \t]*(```|~~~).*?(?:^[ \t]*\1[ \t]*$|\Z)|<pre\b.*?(?:</pre>|\Z)|<code\b.*?(?:</code>|\Z)|\[code\b.*?(?:\[/code\]|\Z)|\{\{\{.*?(?:\}\}\}|\Z)|\\begin\{(?:verbatim|lstlisting)\}.*?(?:\\end\{\w+\}|\Z)"
+)
+_INLINE = re.compile(r"`[^`\n]+`|<a\b[^>]*>.*?</a>|\[[^\]\n]{0,80}\]\([^)\n]*\)|</?[a-zA-Z][^>\n]*>")
+_URL = re.compile(r"\b(?:https?|ftp)://\S+|\bwww\.\S+")
+_LOG = re.compile(r"^\s*(?:\[?\d{4}-\d\d-\d\d[ T]|\d\d:\d\d:\d\d\b|(?:INFO|WARN|ERROR|DEBUG|TRACE|FATAL)\b)")
+_CODE = re.compile(
+    r"^(?:    |\t)|^\s*(?:[$>#%]\s|//|/\*|@\w+|import \w|from \w+ import|def \w+\(|class \w+[:({]|SELECT\b.*\bFROM\b|#include|\}|\{)|[;{}]\s*$|::|=>|->|\(\)|\w\(\w*[,)]|\w\[\w+\]|[+\-*/]?=\s*\S|\w_\w+|\b[a-z]+[A-Z]\w*"
+)
+_SENTENCE = re.compile(r"[.!?。！？]+[\"'”’)\]]*(?=\s|$)|\n+")
+_DUMP = re.compile(r"\S{30,}")
+
+
+def prose(text: str | None) -> str:
+    """The prose of a post: without code, logs, dumps, markup and links. Null gives an empty text."""
+    if not text:
+        return ""
+    if "```" in text or "~~~" in text or "<" in text or "[code" in text or "{{{" in text or "\\begin" in text:
+        text = _BLOCKS.sub("\n", text)
+    kept = []
+    for line in text.split("\n"):
+        if not line.strip():
+            continue
+        if _LOG.match(line):
+            continue
+        plain = _INLINE.sub(" ", line) if "`" in line or "<" in line or "](" in line else line
+        if "://" in plain or "www." in plain:
+            plain = _URL.sub(" ", plain)
+            if len(_WORD.findall(plain)) <= 6:  # a link with a word or two about it
+                continue
+        if len(plain) > 30:
+            plain = _DUMP.sub(" ", plain)
+        code = _CODE.search(plain)
+        if code and (len(plain) < 120 or len(_CODE.findall(plain)) * 60 > len(plain)):
+            continue
+        kept.append(plain)
+    return "\n".join(kept)
+
+
+def measure(text: str) -> tuple[list[str], float]:
+    """The words of a prose text, and its average sentence length in words. Lines end sentences."""
+    words, sentences = [], 0
+    for part in _SENTENCE.split(text):
+        found = _WORD.findall(part)
+        if found:
+            sentences += 1
+            words += found
+    return [w.lower() for w in words], len(words) / max(1, sentences)
+
+
+def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05) -> np.ndarray:
+    weight = np.zeros(x.shape[1])
+    penalty = ridge * np.diag([0.0] + [1.0] * (x.shape[1] - 1))
+    for _ in range(40):
+        p = 1 / (1 + np.exp(-np.clip(x @ weight, -30, 30)))
+        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + penalty + 1e-6 * np.eye(x.shape[1]), x.T @ (y - p) - penalty @ weight)
+        weight = weight + np.clip(step, -5, 5)
+        if np.abs(step).max() < 1e-6:
+            break
+    return weight
+
+
+class Formula:
+    """Odds of being at least of each level, from the share of unfamiliar words and the sentence length."""
+
+    def __init__(self, x: np.ndarray, levels: np.ndarray):
+        self.steps = [(k, _logistic(self._design(x), (levels >= k).astype(float))) for k in sorted(set(levels.tolist()))[1:]]
+        self.least = int(levels.min()) if len(levels) else 1
+
+    @staticmethod
+    def _design(x: np.ndarray) -> np.ndarray:
+        return np.column_stack([np.ones(len(x)), 10 * x[:, 0], np.minimum(x[:, 1], LONGEST) / 10])
+
+    def score(self, x: np.ndarray) -> np.ndarray:
+        """A level on the passages' scale, with parts."""
+        design = self._design(x)
+        return self.least + sum((1 / (1 + np.exp(-np.clip(design @ w, -30, 30))) for _, w in self.steps), np.zeros(len(x)))
+
+
+class Model:
+    """Familiar words, the weight of words for English, and the formula."""
+
+    def __init__(self, words: list[tuple[str, int, int]], passages: list[tuple[int, str]]):
+        order = sorted((w for w in words if w[1]), key=lambda w: (-w[1], w[0]))
+        rank = {w: i for i, (w, _, _) in enumerate(order)}
+        english, other = (sum(w[j] for w in words) + 1 for j in (1, 2))
+        self.english = {w: float(np.clip(np.log((a + 0.5) / english) - np.log((b + 0.5) / other), -4, 4)) for w, a, b in words}
+        measured = [measure(prose(t)) for _, t in passages]
+        levels = np.array([level for level, _ in passages])
+        self.size, self.formula = SIZES[0], Formula(np.zeros((0, 2)), np.zeros(0, int)) if not len(levels) else None
+        best = None
+        for size in SIZES if len(levels) else ():
+            x = np.array([[sum(rank.get(w, size) >= size for w in words_) / max(1, len(words_)), mean] for words_, mean in measured])
+            wrong = 0.0
+            for fold in range(5):
+                held = np.arange(len(levels)) % 5 == fold
+                if held.all() or len(set(levels[~held].tolist())) < 2:
+                    continue
+                wrong += np.abs(Formula(x[~held], levels[~held]).score(x[held]) - levels[held]).sum()
+            if best is None or wrong < best[0] - 1e-9:
+                best, self.size, self.formula = (wrong,), size, Formula(x, levels)
+        self.familiar = {w for w, i in rank.items() if i < self.size}
+
+    def judge(self, texts: list[str | None]) -> tuple[np.ndarray, ...]:
+        """Words, sentence length, share of unfamiliar words, level, and whether the text is English."""
+        n = len(texts)
+        count, mean, share, odds = np.zeros(n, np.int32), np.zeros(n), np.zeros(n), np.zeros(n)
+        for i, text in enumerate(texts):
+            words, mean[i] = measure(prose(text))
+            count[i] = len(words)
+            if words:
+                share[i] = sum(w not in self.familiar for w in words) / len(words)
+                odds[i] = sum(self.english.get(w, 0.0) for w in set(words))
+        level = self.formula.score(np.column_stack([share, mean]))
+        return count, mean, share, np.where(count > 0, level, np.nan), odds > 0
+
+
+def document_frequencies(docs: DataFrame, text: str = "text", lang: str = "lang") -> list[tuple[str, int, int]]:
+    """The words of all documents' prose with how many documents of either language use them: those
+    labelled English, and those labelled otherwise. Labels may be wrong; unlabelled ones count nowhere."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: tuple[Counter[str], Counter[str]] = (Counter(), Counter())
+        for part in slices(batches, "__text"):
+            for x, name in zip(part.column("__text").to_pylist(), part.column("__lang").to_pylist()):
+                counts[name.lower() != "en"].update({w.lower() for w in _WORD.findall(prose(x)) if len(w) <= 40})
+        words = [*counts[0].keys() | counts[1].keys()]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(words, pa.string()), pa.array([counts[0][w] for w in words], pa.int64()), pa.array([counts[1][w] for w in words], pa.int64())],
+            ["word", "english", "other"],
+        )
+
+    rows = (
+        docs.select(F.col(text).alias("__text"), F.col(lang).alias("__lang")).where("__text is not null and __lang is not null")
+        .mapInArrow(run, "word string, english bigint, other bigint")
+        .groupBy("word").agg(F.sum("english").alias("english"), F.sum("other").alias("other"))
+        .orderBy(F.desc(F.col("english") + F.col("other")), "word").limit(MAX_WORDS).collect()
+    )
+    return [(r[0], r[1], r[2]) for r in rows]
+
+
+def fit(docs: DataFrame, passages: DataFrame) -> Model:
+    known = passages.where("text is not null and level is not null").orderBy("ref_id").limit(MAX_PASSAGES).collect()
+    return Model(document_frequencies(docs), [(r["level"], r["text"]) for r in known])
+
+
+def reading_levels(docs: DataFrame, passages: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``key``, n_words, sentence_length, unfamiliar_share, level and english of every row.
+
+    The numbers are those of the prose. Without prose (null, empty, blank texts, code only) n_words is 0
+    and the level null. ``level`` is on the passages' scale, with parts; its whole level is the nearest.
+    Repeated rows are judged each; other columns are ignored.
+    """
+    model = docs.sparkSession.sparkContext.broadcast(fit(docs, passages))
+    kind = docs.schema[key].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, "__text"):
+            count, mean, share, level, english = model.value.judge(part.column("__text").to_pylist())
+            yield pa.RecordBatch.from_arrays(
+                [part.column("__key"), pa.array(count), pa.array(mean), pa.array(share), pa.array(level, from_pandas=True), pa.array(english)],
+                ["__key", "n_words", "sentence_length", "unfamiliar_share", "level", "english"],
+            )
+
+    return (
+        docs.select(F.col(key).alias("__key"), F.col(text).alias("__text"))
+        .mapInArrow(run, f"__key {kind}, n_words int, sentence_length double, unfamiliar_share double, level double, english boolean")
+        .withColumnRenamed("__key", key)
+    )
