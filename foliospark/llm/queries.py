@@ -98,7 +98,7 @@ def p9_levels(spark: SparkSession, folder: str) -> DataFrame:
 def p9_found(spark: SparkSession, folder: str) -> DataFrame:
     from .reading import MIN_WORDS
 
-    return p9_levels(spark, folder).where(F.col("english") & (F.col("n_words") >= MIN_WORDS) & (F.round("level") == 5)).select("doc_id").distinct()
+    return p9_levels(spark, folder).where(F.col("english") & (F.col("n_words") >= MIN_WORDS) & (F.col("whole_level") == 5)).select("doc_id").distinct()
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -3,7 +3,9 @@
 The level is a function of two numbers: the share of words outside a list of familiar words, and the
 average sentence length. The list is the head of the corpus's words by document frequency, counted over
 the prose of all documents. The weights of both numbers, and the length of the list, are fitted on
-passages of known level; the length is chosen by leaving passages out.
+passages of known level; the length is chosen by leaving passages out. A post may mix prose of several
+levels, so the fitted formula is applied to each of its sentences; the post's level is the highest that
+enough of its words reach.
 """
 
 from __future__ import annotations
@@ -28,6 +30,10 @@ MAX_PASSAGES = 5_000
 MIN_WORDS = 40
 #: Sentences longer than this count as this long.
 LONGEST = 60
+#: Without a stop at its end, a longer stretch isn't taken for one sentence, but for several of usual length.
+UNSTOPPED, USUAL = 30, 15
+#: Share of a post's words that must be in sentences of a level, or a higher one, for it to be the post's.
+ENOUGH = 0.375
 
 _WORD = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*")
 _BLOCKS = re.compile(
@@ -69,15 +75,23 @@ def prose(text: str | None) -> str:
     return "\n".join(kept)
 
 
+def sentences(text: str) -> Iterator[tuple[list[str], float]]:
+    """The words of each sentence of a prose text, and the sentence's length in words. Lines end sentences."""
+    at = 0
+    for match in [*_SENTENCE.finditer(text), None]:
+        part = text[at : match.start() if match else len(text)]
+        at = match.end() if match else at
+        words = [w.lower() for w in _WORD.findall(part)]
+        if words:
+            stopped = match is not None and not match.group().startswith("\n")
+            yield words, len(words) if stopped or len(words) <= UNSTOPPED else USUAL
+
+
 def measure(text: str) -> tuple[list[str], float]:
-    """The words of a prose text, and its average sentence length in words. Lines end sentences."""
-    words, sentences = [], 0
-    for part in _SENTENCE.split(text):
-        found = _WORD.findall(part)
-        if found:
-            sentences += 1
-            words += found
-    return [w.lower() for w in words], len(words) / max(1, sentences)
+    """The words of a prose text, and its average sentence length in words."""
+    parts = [*sentences(text)]
+    words = [w for p, _ in parts for w in p]
+    return words, len(words) / max(1.0, sum(len(p) / n for p, n in parts))
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05) -> np.ndarray:
@@ -105,8 +119,12 @@ class Formula:
 
     def score(self, x: np.ndarray) -> np.ndarray:
         """A level on the passages' scale, with parts."""
+        return self.least + sum((p for _, p in self.reach(x)), np.zeros(len(x)))
+
+    def reach(self, x: np.ndarray) -> list[tuple[int, np.ndarray]]:
+        """Each level but the least, with the probability of being at least of it."""
         design = self._design(x)
-        return self.least + sum((1 / (1 + np.exp(-np.clip(design @ w, -30, 30))) for _, w in self.steps), np.zeros(len(x)))
+        return [(k, 1 / (1 + np.exp(-np.clip(design @ w, -30, 30)))) for k, w in self.steps]
 
 
 class Model:
@@ -134,17 +152,30 @@ class Model:
         self.familiar = {w for w, i in rank.items() if i < self.size}
 
     def judge(self, texts: list[str | None]) -> tuple[np.ndarray, ...]:
-        """Words, sentence length, share of unfamiliar words, level, and whether the text is English."""
+        """Words, sentence length, share of unfamiliar words, mean level, whole level, and whether the text is English."""
         n = len(texts)
-        count, mean, share, odds = np.zeros(n, np.int32), np.zeros(n), np.zeros(n), np.zeros(n)
+        row, size, length, strange, odds = [], [], [], [], np.zeros(n)
         for i, text in enumerate(texts):
-            words, mean[i] = measure(prose(text))
-            count[i] = len(words)
-            if words:
-                share[i] = sum(w not in self.familiar for w in words) / len(words)
-                odds[i] = sum(self.english.get(w, 0.0) for w in set(words))
-        level = self.formula.score(np.column_stack([share, mean]))
-        return count, mean, share, np.where(count > 0, level, np.nan), odds > 0
+            seen: set[str] = set()
+            for words, long in sentences(prose(text)):
+                row.append(i)
+                size.append(len(words))
+                length.append(long)
+                strange.append(sum(w not in self.familiar for w in words))
+                seen.update(words)
+            odds[i] = sum(self.english.get(w, 0.0) for w in seen)
+        row_, size_ = np.array(row, np.int64), np.array(size, float)
+        total = lambda x: np.bincount(row_, x, minlength=n) if len(row_) else np.zeros(n)
+        count = total(size_)
+        some = np.maximum(count, 1)
+        x = np.column_stack([np.array(strange) / np.maximum(size_, 1), np.array(length, float)]) if row else np.zeros((0, 2))
+        mean, whole = self.formula.least * np.ones(n), self.formula.least * np.ones(n, np.int32)
+        for k, reach in self.formula.reach(x):
+            share = total(size_ * reach) / some
+            mean += share
+            whole[share >= ENOUGH] = k
+        sentence = some / np.maximum(total(size_ / np.maximum(x[:, 1], 1)), 1e-9)
+        return count.astype(np.int32), np.where(count > 0, sentence, 0.0), total(np.array(strange, float)) / some, np.where(count > 0, mean, np.nan), whole, odds > 0
 
 
 def document_frequencies(docs: DataFrame, text: str = "text", lang: str = "lang") -> list[tuple[str, int, int]]:
@@ -177,10 +208,11 @@ def fit(docs: DataFrame, passages: DataFrame) -> Model:
 
 
 def reading_levels(docs: DataFrame, passages: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``key``, n_words, sentence_length, unfamiliar_share, level and english of every row.
+    """``key``, n_words, sentence_length, unfamiliar_share, level, whole_level and english of every row.
 
     The numbers are those of the prose. Without prose (null, empty, blank texts, code only) n_words is 0
-    and the level null. ``level`` is on the passages' scale, with parts; its whole level is the nearest.
+    and both levels are null. ``level`` is the mean over the words on the passages' scale, with parts;
+    ``whole_level`` the highest that a share of ``ENOUGH`` of the words reaches.
     Repeated rows are judged each; other columns are ignored.
     """
     model = docs.sparkSession.sparkContext.broadcast(fit(docs, passages))
@@ -188,14 +220,15 @@ def reading_levels(docs: DataFrame, passages: DataFrame, key: str = "doc_id", te
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "__text"):
-            count, mean, share, level, english = model.value.judge(part.column("__text").to_pylist())
+            count, length, share, level, whole, english = model.value.judge(part.column("__text").to_pylist())
             yield pa.RecordBatch.from_arrays(
-                [part.column("__key"), pa.array(count), pa.array(mean), pa.array(share), pa.array(level, from_pandas=True), pa.array(english)],
-                ["__key", "n_words", "sentence_length", "unfamiliar_share", "level", "english"],
+                [part.column("__key"), pa.array(count), pa.array(length), pa.array(share), pa.array(level, from_pandas=True),
+                 pa.array(whole, mask=count == 0), pa.array(english)],
+                ["__key", "n_words", "sentence_length", "unfamiliar_share", "level", "whole_level", "english"],
             )
 
     return (
         docs.select(F.col(key).alias("__key"), F.col(text).alias("__text"))
-        .mapInArrow(run, f"__key {kind}, n_words int, sentence_length double, unfamiliar_share double, level double, english boolean")
+        .mapInArrow(run, f"__key {kind}, n_words int, sentence_length double, unfamiliar_share double, level double, whole_level int, english boolean")
         .withColumnRenamed("__key", key)
     )
