@@ -1,23 +1,264 @@
-"""Named queries over the test tables, with the SQL that states the same result."""
+"""Named queries over the test tables, with the SQL that states the same result where SQL can."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import text as T
+from ..operators import analysis, concepts, graph, segment, shred, store
+from ..streaming import progress
+from .oracle import SQL
 
 FLAGSHIP = "ox1_concepts"
 
 
+def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{folder}/{name}.parquet")
+
+
+def _docs(spark: SparkSession, folder: str) -> DataFrame:
+    """Each read once, as doc_id and text; a redelivered read has the same text."""
+    return _table(spark, folder, "reads").where("text is not null").groupBy(F.col("read_id").alias("doc_id")).agg(F.max("text").alias("text"))
+
+
+def _pages(spark: SparkSession, folder: str) -> DataFrame:
+    """The blocks of pdf reads as pages of a document: doc_id, page_no, text, blocks of a page in order."""
+    once = _table(spark, folder, "paragraphs").groupBy("read_id", "id").agg(F.max(F.struct(F.coalesce("page_number", F.lit(0)).alias("page_no"), "index", "text")).alias("p"))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p.index", "id", "p.text"))), lambda x: x["text"]), "\n")
+    return once.groupBy(F.col("read_id").alias("doc_id"), F.col("p.page_no").alias("page_no")).agg(text.alias("text"))
+
+
+def _evidence(spark: SparkSession, folder: str) -> DataFrame:
+    """Each piece of evidence once."""
+    rows = _table(spark, folder, "evidence")
+    columns = ["claim", "kind", "excerpt", "source_location", "confidence", "extracted_at", "feed_id"]
+    return rows.groupBy("doc_id", "id").agg(F.max(F.struct("extracted_at", *[c for c in columns if c != "extracted_at"])).alias("e")).select("doc_id", "id", "e.*")
+
+
+def _papers(spark: SparkSession, folder: str) -> DataFrame:
+    rows = _table(spark, folder, "papers")
+    return rows.groupBy("doc_id").agg(F.max_by(F.struct(*[c for c in rows.columns if c != "doc_id"]), "added_at").alias("p")).select("doc_id", "p.*")
+
+
+def _run_concepts(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """Concepts and evidence of stored runs, by run."""
+    tables = shred.run_tables(_table(spark, folder, "analysis_runs"))
+    ids = tables["concept_evidence"].withColumn("at", F.slice("ordinals", 1, 1)).groupBy("run_id", "at").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("ordinals", "evidence_id"))), lambda x: x["evidence_id"]).alias("evidence_ids")
+    )
+    found = tables["concepts"].join(ids.withColumnRenamed("at", "ordinals"), ["run_id", "ordinals"], "left").select(
+        F.col("run_id").alias("doc_id"), "id", "label", "kind", "description", F.col("confidence").cast("double").alias("confidence"),
+        F.coalesce("evidence_ids", F.array().cast("array<string>")).alias("evidence_ids"), "ordinals",
+    )
+    pieces = tables["evidence"].select(F.col("run_id").alias("doc_id"), "id", "claim", "kind", "excerpt", "source_location", F.col("confidence").cast("double").alias("confidence"))
+    return found, pieces
+
+
+def t1_body_lines(spark: SparkSession, folder: str) -> DataFrame:
+    return segment.body_lines(_pages(spark, folder)).select("doc_id", F.col("page_no").cast("int").alias("page_no"), F.col("pos").cast("int").alias("pos"), "line")
+
+
+def t1_body_text(spark: SparkSession, folder: str) -> DataFrame:
+    return segment.body_text(_pages(spark, folder)).select("doc_id", F.length("text").alias("n_chars"), F.md5("text").alias("digest"))
+
+
+def t3_edge_keys(spark: SparkSession, folder: str) -> DataFrame:
+    lines = _docs(spark, folder).select(F.explode(F.split("text", "\n")).alias("line")).select(T.squeeze(F.col("line")).alias("line")).where("length(line) > 0")
+    return lines.groupBy(T.edge_key(F.col("line")).alias("key")).agg(F.count("*").alias("n"))
+
+
+def t4_t8_flags(spark: SparkSession, folder: str) -> DataFrame:
+    d = _docs(spark, folder)
+    line = F.split("text", "\n")
+    return d.select(
+        "doc_id", T.is_meaningful(F.col("text")).alias("meaningful"), T.is_browser_error(F.col("text")).alias("browser_error"),
+        F.size(F.filter(line, lambda x: x.rlike(T.STOP_HEADING))).alias("stop_headings"), F.size(F.filter(line, lambda x: x.rlike(T.PAGE_NUMBER))).alias("page_numbers"),
+        F.size(F.filter(line, lambda x: x.rlike(T.BOILERPLATE))).alias("notices"),
+    )
+
+
+def t9_paragraphs(spark: SparkSession, folder: str) -> DataFrame:
+    return segment.paragraphs(_docs(spark, folder)).select("doc_id", "id", F.col("index").cast("int").alias("index"), "text", F.col("start_char").cast("int").alias("start_char"), F.col("end_char").cast("int").alias("end_char"))
+
+
+def t10_chunks(spark: SparkSession, folder: str) -> DataFrame:
+    return segment.chunks(_docs(spark, folder)).select("doc_id", "id", F.col("index").cast("int").alias("index"), "start_char", "end_char", F.length("text").alias("n_chars"))
+
+
+def t11_compact(spark: SparkSession, folder: str) -> DataFrame:
+    return _evidence(spark, folder).where("excerpt is not null").select("doc_id", "id", T.compact(F.col("excerpt"), 60).alias("short"))
+
+
+def t13_sentences(spark: SparkSession, folder: str) -> DataFrame:
+    return segment.tagged_sentences(_docs(spark, folder)).select("doc_id", F.col("idx").cast("int").alias("idx"), "sentence", "section")
+
+
+def t14_t15_titles(spark: SparkSession, folder: str) -> DataFrame:
+    return _docs(spark, folder).select("doc_id", T.title(F.col("text")).alias("title"), T.year(F.col("text")).alias("year"))
+
+
+def t16_search(spark: SparkSession, folder: str) -> DataFrame:
+    return _docs(spark, folder).select("doc_id", F.posexplode(T.search(F.col("text"), "mixed-effects model")).alias("n", "excerpt"))
+
+
+def t17_t20_labels(spark: SparkSession, folder: str) -> DataFrame:
+    s = F.col("excerpt")
+    return _evidence(spark, folder).where("excerpt is not null").select(
+        "doc_id", "id", T.phrase_after(s, analysis.METHOD_CUES).alias("phrase"), T.metric_label(s).alias("metric"), T.experiment_label(s).alias("experiment"),
+    )
+
+
+def t23_terms(spark: SparkSession, folder: str) -> DataFrame:
+    terms = T.comparison_terms(F.col("abstract"))
+    return _papers(spark, folder).select("doc_id", F.explode(terms).alias("term")).groupBy("term").agg(F.count("*").alias("n_docs"))
+
+
+def t24_relationship(spark: SparkSession, folder: str) -> DataFrame:
+    return _evidence(spark, folder).where("excerpt is not null").groupBy(T.relationship(F.col("excerpt")).alias("relationship_type")).agg(F.count("*").alias("n"))
+
+
+def t26_anchored(spark: SparkSession, folder: str) -> DataFrame:
+    """Evidence anchored in its paper's abstract or title."""
+    e, p = _evidence(spark, folder), _papers(spark, folder)
+    source = F.concat_ws("\n", "title", "abstract")
+    return e.join(p.select("doc_id", source.alias("source")), "doc_id").groupBy("doc_id").agg(
+        F.count("*").alias("n"), F.count_if(T.is_anchored(F.col("excerpt"), F.col("source"))).alias("n_anchored")
+    )
+
+
+def t27_t33_addresses(spark: SparkSession, folder: str) -> DataFrame:
+    u = F.col("source_url")
+    return _papers(spark, folder).select("doc_id", T.is_web_address(u).alias("web"), T.source_type(F.coalesce(u, F.lit(""))).alias("source_type"), T.is_authority(u).alias("authority"))
+
+
+def t29_terms(spark: SparkSession, folder: str) -> DataFrame:
+    words = F.explode(F.split("title", ",")).alias("part")
+    return _papers(spark, folder).where("title is not null").select("doc_id", words).select("doc_id", T.clean_term(F.col("part")).alias("term")).distinct()
+
+
+def c3_candidates(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _papers(spark, folder).select("doc_id", F.concat_ws(". ", "title", "abstract").alias("text"))
+    return concepts.candidates(concepts.pattern_mentions(docs)).select(
+        "doc_id", F.col("rank").cast("int").alias("rank"), "term", F.col("mentions").cast("int").alias("mentions"), F.col("start_char").cast("int").alias("start_char")
+    )
+
+
+def w1_best(spark: SparkSession, folder: str) -> DataFrame:
+    best = analysis.best_sentences(segment.tagged_sentences(_docs(spark, folder)))
+    return best.select("doc_id", *(F.col(r)["sentence"].alias(r) for r in ("thesis", "method", "finding", "experiment", "metric", "opening")))
+
+
+def ox1_concepts(spark: SparkSession, folder: str) -> DataFrame:
+    return analysis.concept_rows(analysis.structure(_docs(spark, folder))).select("doc_id", F.col("pos").cast("int").alias("pos"), "id", "label", "description", "confidence")
+
+
+def ox1_evidence(spark: SparkSession, folder: str) -> DataFrame:
+    return analysis.evidence_rows(analysis.structure(_docs(spark, folder), query="factorial layout")).select("doc_id", F.col("pos").cast("int").alias("pos"), "id", "claim", "excerpt", "source_location")
+
+
+def os1_summaries(spark: SparkSession, folder: str) -> DataFrame:
+    return analysis.summaries(analysis.structure(_docs(spark, folder)))
+
+
+def j1_links(spark: SparkSession, folder: str) -> DataFrame:
+    c, e = _run_concepts(spark, folder)
+    return analysis.links(c, e).where("evidence_id is not null").select("doc_id", "concept_id", "evidence_id", F.coalesce("there", F.lit(False)).alias("there"), "evidence_kind")
+
+
+def j2_dangling(spark: SparkSession, folder: str) -> DataFrame:
+    return analysis.dangling(*_run_concepts(spark, folder))
+
+
+def oe1_explanations(spark: SparkSession, folder: str) -> DataFrame:
+    c, e = _run_concepts(spark, folder)
+    return analysis.explanations(c, e).select("doc_id", "concept_id", "support_status", "score", "reliability", "rationale")
+
+
+def ov2_violations(spark: SparkSession, folder: str) -> DataFrame:
+    c, e = _run_concepts(spark, folder)
+    texts = e.groupBy("doc_id").agg(F.array_join(F.array_sort(F.collect_set("excerpt")), " ").alias("text"))
+    return analysis.violations(c, e, texts)
+
+
+def a5_quality(spark: SparkSession, folder: str) -> DataFrame:
+    return analysis.quality(*_run_concepts(spark, folder))
+
+
+def oc1_compare(spark: SparkSession, folder: str) -> DataFrame:
+    """Feeds' newest papers against the reading passages as library."""
+    current = _papers(spark, folder).where("abstract is not null").select("doc_id", F.concat_ws(" ", "title", "abstract").alias("text"))
+    library = _table(spark, folder, "reading_refs").select(F.col("ref_id").alias("paper_id"), "text")
+    return analysis.compare(current, library).select("doc_id", "paper_id", "relationship_type", F.col("n_shared").cast("int").alias("n_shared"), F.round("confidence", 6).alias("confidence"), "shared")
+
+
+def g1_nodes(spark: SparkSession, folder: str) -> DataFrame:
+    c, _ = _run_concepts(spark, folder)
+    return graph.map_nodes(c.dropDuplicates(["doc_id", "id"])).select("doc_id", "node_id", "kind", F.col("x").cast("int").alias("x"), F.col("y").cast("int").alias("y"))
+
+
+def g2_edges(spark: SparkSession, folder: str) -> DataFrame:
+    c, _ = _run_concepts(spark, folder)
+    nodes = graph.map_nodes(c.dropDuplicates(["doc_id", "id"]))
+    return graph.keep_known(graph.map_edges(nodes), nodes)
+
+
+def g3_cards(spark: SparkSession, folder: str) -> DataFrame:
+    return graph.cards(_papers(spark, folder))
+
+
+def k1_current(spark: SparkSession, folder: str) -> DataFrame:
+    return store.current_runs(_table(spark, folder, "analysis_runs")).select("run_id", "created_at", F.md5(F.coalesce("response_json", F.lit(""))).alias("digest"))
+
+
+def k3_recent(spark: SparkSession, folder: str) -> DataFrame:
+    return store.recent(_table(spark, folder, "analysis_runs"), 20).select("run_id", "created_at")
+
+
+def k5_events(spark: SparkSession, folder: str) -> DataFrame:
+    e = progress.stage_events(_table(spark, folder, "analysis_runs").select("run_id").distinct())
+    return store.event_lines(e.select("run_id", "node", "status"))
+
+
+def st1_stages(spark: SparkSession, folder: str) -> DataFrame:
+    return progress.stage_events(_table(spark, folder, "analysis_runs").select("run_id").distinct()).select("run_id", F.col("seq").cast("int").alias("seq"), "node", "status")
+
+
+def st2_states(spark: SparkSession, folder: str) -> DataFrame:
+    return store.fold_states(progress.stage_events(_table(spark, folder, "analysis_runs").select("run_id").distinct())).select("run_id", "node", "status", F.size("trace").alias("n_trace"))
+
+
+def st_windows(spark: SparkSession, folder: str) -> DataFrame:
+    return progress.tumbling(_table(spark, folder, "events")).select("start", "event_type", "n", F.round("total", 4).alias("total"))
+
+
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
-    from ..operators.shred import run_elements
+    return shred.run_elements(_table(spark, folder, "analysis_runs"))
+
+
+def p5_tables(spark: SparkSession, folder: str) -> DataFrame:
+    """How many rows each of the flat tables has."""
+    tables = shred.run_tables(_table(spark, folder, "analysis_runs"))
+    counts = [t.agg(F.lit(name).alias("entity"), F.count("*").alias("n")) for name, t in tables.items()]
+    out = counts[0]
+    for c in counts[1:]:
+        out = out.unionByName(c)
+    return out
+
 
-    return run_elements(spark.read.parquet(f"{folder}/analysis_runs.parquet"))
+_QUERIES = (
+    t1_body_lines, t1_body_text, t3_edge_keys, t4_t8_flags, t9_paragraphs, t10_chunks, t11_compact, t13_sentences, t14_t15_titles, t16_search,
+    t17_t20_labels, t23_terms, t24_relationship, t26_anchored, t27_t33_addresses, t29_terms, c3_candidates, w1_best, ox1_concepts, ox1_evidence,
+    os1_summaries, j1_links, j2_dangling, oe1_explanations, ov2_violations, a5_quality, oc1_compare, g1_nodes, g2_edges, g3_cards, k1_current,
+    k3_recent, k5_events, st1_stages, st2_states, st_windows, p5_found, p5_tables,
+)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p5_found": p5_found}
+    return {q.__name__: q for q in _QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
