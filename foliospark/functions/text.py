@@ -76,7 +76,7 @@ def is_browser_error(html: Column) -> Column:
 
 def sentences(line: Column) -> Column:
     """Sentences of a squeezed line: cut after a stop before a capital, a digit or a bracket."""
-    return F.filter(F.transform(F.split(line, r"(?<=[.!?])\s+(?=[A-Z0-9(])"), F.trim), lambda s: F.length(s) > 0)
+    return F.filter(F.transform(F.split(line, r"(?<=[.!?])\s+(?=[A-Z0-9(])"), lambda s: F.trim(s)), lambda s: F.length(s) > 0)
 
 
 def title(text: Column, default: str = "Imported research paper") -> Column:

@@ -210,11 +210,11 @@ def g3_cards(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def k1_current(spark: SparkSession, folder: str) -> DataFrame:
-    return store.current_runs(_table(spark, folder, "analysis_runs")).select("run_id", "created_at", F.md5(F.coalesce("response_json", F.lit(""))).alias("digest"))
+    return store.current_runs(_table(spark, folder, "analysis_runs")).select("run_id", F.unix_micros("created_at").alias("created_us"), F.md5(F.coalesce("response_json", F.lit(""))).alias("digest"))
 
 
 def k3_recent(spark: SparkSession, folder: str) -> DataFrame:
-    return store.recent(_table(spark, folder, "analysis_runs"), 20).select("run_id", "created_at")
+    return store.recent(_table(spark, folder, "analysis_runs"), 20).select("run_id", F.unix_micros("created_at").alias("created_us"))
 
 
 def k5_events(spark: SparkSession, folder: str) -> DataFrame:
@@ -231,7 +231,7 @@ def st2_states(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def st_windows(spark: SparkSession, folder: str) -> DataFrame:
-    return progress.tumbling(_table(spark, folder, "events")).select("start", "event_type", "n", F.round("total", 4).alias("total"))
+    return progress.tumbling(_table(spark, folder, "events")).select(F.unix_micros("start").alias("start_us"), "event_type", "n", F.round("total", 4).alias("total"))
 
 
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
