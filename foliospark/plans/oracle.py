@@ -185,7 +185,7 @@ SQL: dict[str, str] = {
       SELECT doc_id, concept_id, support_status, score, CASE WHEN score >= 0.8 THEN 'high' WHEN score >= 0.6 THEN 'moderate' ELSE 'low' END AS reliability,
       'The explanation has ' || support_status || ' support from ' || n || ' linked evidence item(s) with a limiting confidence of ' || CAST(round_even(score * 100, 0) AS INT) || '%.' AS rationale FROM s""",
     "a5_quality": f"""WITH {CONCEPTS}, a AS (SELECT c.doc_id, count(*) AS n_concepts, avg(CASE WHEN EXISTS (SELECT 1 FROM ce WHERE ce.doc_id = c.doc_id AND ce.concept_id = c.id) THEN 1.0 ELSE 0.0 END) AS citation_coverage FROM c GROUP BY 1),
-      b AS (SELECT doc_id, count(*) AS n_evidence, avg(CASE WHEN length(source_location) > 0 THEN 1.0 WHEN source_location IS NULL THEN NULL ELSE 0.0 END) AS location_coverage FROM e GROUP BY 1)
+      b AS (SELECT doc_id, count(*) AS n_evidence, avg(CASE WHEN length(source_location) > 0 THEN 1.0 ELSE 0.0 END) AS location_coverage FROM e GROUP BY 1)
       SELECT doc_id, coalesce(n_concepts, 0) AS n_concepts, coalesce(n_evidence, 0) AS n_evidence, coalesce(citation_coverage, 0.0) AS citation_coverage, coalesce(location_coverage, 0.0) AS location_coverage FROM a FULL JOIN b USING (doc_id)""",
     "oc1_compare": f"""WITH {PAPERS}, cur AS (SELECT doc_id, concat_ws(' ', title, abstract) AS text FROM pp WHERE abstract IS NOT NULL),
       l AS (SELECT doc_id, {relationship('text')} AS relationship_type, {terms('text')} AS a FROM cur), r AS (SELECT ref_id AS paper_id, {terms('text')} AS b FROM reading_refs),

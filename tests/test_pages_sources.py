@@ -1,0 +1,41 @@
+from foliospark.operators import pages
+from foliospark.sources import documents
+
+
+def test_visible_text():
+    html = "<html><head><title>t</title><script>x</script></head><body><nav>menu</nav><article><h1>Title</h1><p>One &amp; two<br>three</p></article><footer>f</footer></body></html>"
+    assert pages.visible_text(html) == "Title\nOne & two\nthree"
+    assert pages.visible_text("<div>a</div><div>b</div>") == "a\nb"
+    assert pages.visible_text(None) is None and pages.visible_text("") == ""
+
+
+def test_links_and_choice(spark):
+    html = '<meta name="citation_pdf_url" content="/a.pdf"><a href="/b.pdf">x</a><button data-pdf-url="https://h.org/c">y</button><script>{"u":"https:\\/\\/h.org\\/d.pdf"}</script><a href="/e">no</a>'
+    found = dict(pages.pdf_links(html, "https://h.org/p"))
+    assert list(found)[0] == "https://h.org/a.pdf" and set(found) == {"https://h.org/a.pdf", "https://h.org/b.pdf", "https://h.org/c", "https://h.org/d.pdf"}
+    table = spark.createDataFrame([(1, "https://h.org/p", html), (2, "https://h.org/q", "Please enable JavaScript"), (3, "https://h.org/r", "<p>x</p>")], "page_id int, url string, html string")
+    fetched = spark.createDataFrame([("https://h.org/a.pdf", False), ("https://h.org/b.pdf", True)], "url string, is_pdf boolean")
+    chosen = {r["page_id"]: (r["source_url"], r["format"]) for r in pages.choose(table, fetched).collect()}
+    assert chosen == {1: ("https://h.org/b.pdf", "pdf"), 3: ("https://h.org/r", "html")}
+
+
+def test_fetch_retries(spark):
+    def get(url):
+        if url == "down":
+            raise OSError
+        return (503, "text/html", b"") if url == "busy" else (200, "text/html", b"ok")
+
+    rows = {r["url"]: (r["status"], r["tries"]) for r in documents.fetch(spark.createDataFrame([("down",), ("busy",), ("up",)], "url string"), get, wait=lambda s: None).collect()}
+    assert rows == {"down": (0, 3), "busy": (503, 3), "up": (200, 1)}
+
+
+def test_uploads_and_texts(spark, tmp_path):
+    files = spark.createDataFrame([("a.pdf", b"%PDF-1"), ("b.md", "é".encode()), ("c.exe", b"MZ")], "path string, content binary")
+    assert {r["path"]: (r["route"], r["text"]) for r in documents.uploads(files).collect()} == {"a.pdf": ("pdf", None), "b.md": ("text", "é"), "c.exe": ("rejected", None)}
+    read = documents.from_texts(spark.createDataFrame([("x", "Body line here.\nReferences\ngone"), ("y", "References")], "doc_id string, text string"))
+    assert {r["doc_id"]: (r["text"], r["status"]) for r in read.collect()} == {"x": ("Body line here.", "read"), "y": ("", "empty")}
+    layers = spark.createDataFrame([("p", 1, ""), ("q", 1, "word " * 60)], "doc_id string, page_no int, text string")
+    scans = spark.createDataFrame([("p", 1, "Scanned words")], "doc_id string, page_no int, text string")
+    assert {r["doc_id"]: (r["ocr_used"], r["status"]) for r in documents.read_pdf(layers, scans).collect()} == {"p": (True, "read"), "q": (False, "read")}
+    (tmp_path / "t.txt").write_text("whole\nfile")
+    assert documents.text_files(spark, str(tmp_path)).first()["text"] == "whole\nfile"

@@ -1,0 +1,67 @@
+import random
+
+from foliospark.operators import segment
+
+
+def test_body_drops_edges_and_back_matter(spark):
+    pages = spark.createDataFrame(
+        [
+            ("d", 1, "Journal of Rain 12\nA title line\nThe work is a re-\nport on rain.\n1", 9),
+            ("d", 2, "Journal of Rain 13\nMore body text.\nReferences\n[1] gone\n2", 9),
+            ("d", 3, "also gone", 9),
+            ("e", 1, None, 9),
+        ],
+        "doc_id string, page_no int, text string, line int",
+    )
+    out = {r["doc_id"]: r["text"] for r in segment.body_text(pages).collect()}
+    assert out == {"d": "A title line\nThe work is a report on rain.\nMore body text."}
+    assert segment.body_text(pages.limit(0)).count() == 0
+
+
+def test_paragraphs(spark):
+    docs = spark.createDataFrame([("d", "One wrapped\nline with a hy-\nphen.\n\n \n\nTwo."), ("n", None), ("b", " \n\n ")], "doc_id string, text string")
+    rows = segment.paragraphs(docs).orderBy("doc_id", "index").collect()
+    assert [(r["id"], r["text"]) for r in rows] == [("paragraph-0000", "One wrapped line with a hyphen."), ("paragraph-0001", "Two.")]
+    text = "One wrapped\nline with a hy-\nphen.\n\n \n\nTwo."
+    assert [text[r["start_char"] : r["end_char"]] for r in rows] == ["One wrapped\nline with a hy-\nphen.", "Two."]
+
+
+def brute_chunks(text, limit, overlap):
+    out, at = [], 0
+    overlap = min(overlap, limit // 3)
+    while True:
+        end = min(at + limit, len(text))
+        if end < len(text):
+            window = text[at:end]
+            blank, stop = window.rfind("\n\n"), window.rfind(". ")
+            if max(blank, stop) >= limit // 2:
+                end = at + (blank if blank >= stop else stop + 2)
+        out.append((at, end, text[at:end].strip()))
+        if end >= len(text):
+            return out
+        at = max(end - overlap, at + 1)
+
+
+def test_chunks_against_brute_force(spark):
+    rng = random.Random(3)
+    texts = ["".join(rng.choice(["word ", "end. ", "x", "\n\n", "longerword "]) for _ in range(n)) for n in (1, 30, 200, 400)] + ["y" * 350]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(99, None), (98, "  ")], "doc_id int, text string")
+    got = {}
+    for r in segment.chunks(docs, limit=120, overlap=30).orderBy("doc_id", "index").collect():
+        got.setdefault(r["doc_id"], []).append((r["start_char"], r["end_char"], r["text"]))
+    assert got == {i: brute_chunks(t, 120, 30) for i, t in enumerate(texts) if t.strip()}
+
+
+def test_sentences_carry_sections(spark):
+    docs = spark.createDataFrame(
+        [("d", "Some opening words stand right here.\n1 Methods\nWe use five long words here. Short one.\nResults:\nThe result is good and large."), ("s", "Tiny. Text"), ("n", None)],
+        "doc_id string, text string",
+    )
+    rows = [(r["doc_id"], r["section"], r["sentence"]) for r in segment.tagged_sentences(docs).orderBy("doc_id", "idx").collect()]
+    assert rows == [
+        ("d", "opening", "Some opening words stand right here."),
+        ("d", "methods", "We use five long words here."),
+        ("d", "results", "The result is good and large."),
+        ("s", "opening", "Tiny."),
+        ("s", "opening", "Text"),
+    ]
