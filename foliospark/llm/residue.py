@@ -30,6 +30,8 @@ SAMPLE_TEXTS, MATURE_CHARS = 600, 1500
 PROSE_BYTES = 45
 #: Nor are lines that, but for their numbers, stand in so many texts of the sample.
 FURNITURE_TEXTS = 3
+#: Texts below this size are looked through for lines of one repeated word, whatever the model says.
+SHORT_BYTES = 600
 
 # Wordings of residue, as an editor would list them.
 TEMPLATES = """
@@ -113,7 +115,7 @@ class Model:
         bad = np.bincount(row[kind == 1], size[kind == 1], minlength=count)
         good = np.bincount(row[kind == 0], size[kind == 0], minlength=count)
         flags = (bad > 0) & (bad >= COVERAGE * (bad + good))
-        for i in np.flatnonzero(~flags & (good < 0.8 * np.diff(offsets))):  # a repeated word needs no model
+        for i in np.flatnonzero(~flags & ((good < 0.8 * np.diff(offsets)) | (np.diff(offsets) < SHORT_BYTES))):  # a repeated word needs no model
             lines = texts[int(i)].as_py() or ""
             dull = sum(len(x) for x in lines.split("\n") if _REPEATED.match(x))
             flags[i] = dull > 0 and dull + bad[i] >= COVERAGE * (dull + bad[i] + good[i] * (good[i] > dull))
@@ -124,12 +126,12 @@ _REPEATED = re.compile(r"^\s*([^\W\d]\w*)\W+(?:\1\W+){3,}(?:\1)?\W*$")
 
 
 def fit(reads: DataFrame, text: str = "text") -> Model:
-    """The model for a corpus; natural text is learned from at most ``SAMPLE_TEXTS`` of its texts of at
-    least ``MATURE_CHARS``, picked by hash. A corpus without such texts gets the seeds only."""
+    """The model for a corpus; natural text is learned from at most ``SAMPLE_TEXTS`` of its texts, those of
+    at least ``MATURE_CHARS`` first, picked by hash. Without any text nothing is residue."""
     rows = (
         reads.select(F.col(text).alias("__text"))
-        .where(F.length("__text") >= MATURE_CHARS)
-        .orderBy(F.xxhash64("__text"))
+        .where(F.length("__text") > 0)
+        .orderBy(F.length("__text") < MATURE_CHARS, F.xxhash64("__text"))
         .limit(SAMPLE_TEXTS)
         .collect()
     )
