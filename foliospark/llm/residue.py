@@ -54,7 +54,7 @@ NOTICES = """
 404 Not Found | 403 Forbidden | 410 Gone | 500 Internal Server Error | 502 Bad Gateway | 503 Service Temporarily Unavailable | 504 Gateway Time-out | Gateway timeout | Error 404 | Error 500 | Access denied | Too many requests (429) | Bad request | Ref 45a64bb1c6
 The page you are looking for could not be found. | It may have been moved or deleted. | You don't have permission to view this resource. | The upstream server returned an invalid response. | The connection was closed before a response was received. | Please try again in a few minutes. | Please try again later. | Our engineers have been notified. | Sorry, something went wrong on our side. | An unexpected condition was met while rendering block 7. | If the problem persists, contact the administrator and quote request 7. | Back to the start page | This page isn't working. | The server is temporarily unable to service your request.
 Die angeforderte Seite wurde nicht gefunden. | La page demandée est introuvable. | No se pudo encontrar el documento solicitado. | La pagina richiesta non è stata trovata. | Bitte aktivieren Sie JavaScript, um diesen Beitrag zu lesen. | Veuillez activer les scripts pour afficher cette page. | Para ver esta página debe activar JavaScript. | Abilita JavaScript per vedere questa pagina.
-You need to enable JavaScript to run this app. | JavaScript is required. Reload the page after switching it on. | Please turn on scripts in your browser to read this article. | This content cannot be shown because scripting is disabled. | Loading… If nothing happens your browser may block active content. | Loading... | Please wait while we check your browser. | Verify that you are human to continue. | Checking your browser before you continue. | Please complete the captcha | Cookies must be enabled to view this page.
+You need to enable JavaScript to run this app. | JavaScript is required. Reload the page after switching it on. | Please turn on scripts in your browser to read this article. | This content cannot be shown because scripting is disabled. | Loading… If nothing happens your browser may block active content. | Loading... | Please wait while we check your browser. | Verify that you are human to continue. | Checking your browser before you continue. | Checking your browser before you proceed. This takes about 6 seconds. | Please complete the captcha | Cookies must be enabled to view this page.
 Your session has expired. Log in again to open this record. | Your institution does not have access to this item. | Sign in to read the full text. | Subscribe to read this article. | This record has been withdrawn from public view; no text is available. | No results to display. | Content coming soon. | Under construction: the text of this item will appear here. | This item is not available. | This domain is parked. Inquire about buying this domain. | This domain is for sale. | The document could not be loaded.
 Traceback (most recent call last): | File "/srv/app/views.py", line 740, in load | File "/srv/app/render.py", line 12, in build | File "/srv/app/db.py", line 302, in get | File "/srv/app/cache.py", line 31, in handle | KeyError: 'abstract' | ValueError: empty body | TemplateError: unknown tag | TimeoutError: backend did not answer | TypeError: 'NoneType' object is not subscriptable | NullPointerException at com.app.Main
 SQLSTATE[HY000]: server has gone away in query 5324 | ORM error 87993: relation "paper_text" does not exist | Warning: include(/tpl/article_37417.inc): failed to open stream | Fatal: allowed memory of 63124 bytes exhausted while building the page | Fatal error: Uncaught exception | segmentation fault | Undefined index: title
