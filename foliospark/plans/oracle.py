@@ -143,7 +143,63 @@ HOST = r"lower(regexp_extract(source_url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/@?#]
 DOMAINS = "acm.org annualreviews.org aps.org arxiv.org britannica.com cambridge.org cern.ch doi.org ieee.org jstor.org nature.com ncbi.nlm.nih.gov nih.gov nasa.gov oup.com plos.org royalsocietypublishing.org science.org sciencedirect.com sciencemag.org springer.com wiley.com".split()
 AUTHORITY = f"(regexp_matches({HOST}, '\\.(edu|gov|ac\\.uk)$') OR " + " OR ".join(f"{HOST} = '{d}' OR ends_with({HOST}, '.{d}')" for d in DOMAINS) + ")"
 
+def label(sentence: str, cues: str, default: str) -> str:
+    ph = phrase(sentence).replace(CUES, cues)
+    words = f"string_split({sq(sentence)}, ' ')"
+    first = compact(f"array_to_string({words}[1:8], ' ')", 58)
+    return rf"""CASE WHEN length({ph}) >= 4 THEN upper(substr({ph}, 1, 1)) || substr({ph}, 2) WHEN len({words}) > 8 THEN regexp_replace({first}, '[.,]+$', '') || '…'
+      ELSE coalesce(nullif(regexp_replace({sentence}, '\.+$', ''), ''), '{default}') END"""
+
+
+def subject(sentence: str) -> str:
+    raw = rf"regexp_replace(regexp_extract({sentence}, '(?i)\b(?:on|using|across|with)\s+(?:the\s+)?([^.;,:]+)', 1), '(?i)\s+(?:to|for|that|which|and|compared|versus|against)\s+.*$', '')"
+    sub = rf"regexp_replace({compact(raw, 58)}, '^[ .,]+|[ .,]+$', '', 'g')"
+    return f"CASE WHEN length({sub}) >= 4 THEN upper(substr({sub}, 1, 1)) || substr({sub}, 2) ELSE {label(sentence, 'evaluate|experiment|benchmark|test|measure', 'Evaluation described in the paper')} END"
+
+
+def measure(sentence: str) -> str:
+    word = f"nullif(regexp_extract({sentence}, '{METRIC}', 0), '')"
+    number = f"nullif(trim(regexp_extract({sentence}, '{NUMBER}', 0)), '')"
+    return f"coalesce({word} || ' (' || {number} || ')', {word}, {label(sentence, 'report|measure|achieve|improv|reduce', 'Result reported by the paper')})"
+
+
+ROLES["approach"] = ("method|architecture|model|framework|approach", ROLES["method"][1])
+BEST = f"""{SENTENCES}, l AS (SELECT *, {low('sentence')} AS lo FROM sents), b AS (SELECT doc_id, {', '.join(best(r) for r in ROLES)},
+      arg_min(CASE WHEN length(sentence) >= 35 THEN {compact('sentence', 280)} ELSE sentence END, CASE WHEN length(sentence) >= 35 THEN 0 ELSE 1000000 END + idx) AS opening FROM l GROUP BY doc_id)"""
+TITLE = rf"coalesce(list_filter(list_transform(string_split(text, chr(10)), lambda x: regexp_replace(x, '^[ #\t]+|[ #\t]+$', '', 'g')), lambda x: length(x) BETWEEN 4 AND 140)[1], 'Imported research paper')"
+#: One row a document: title, and the sentence of each role after its fallbacks.
+WIDE = f"""{BEST}, w AS (SELECT d.doc_id, {TITLE} AS title, coalesce(thesis, opening) AS t, coalesce(method, approach) AS m, coalesce(finding, thesis, opening) AS f,
+      coalesce(experiment, method, approach) AS e, coalesce(metric, finding, thesis, opening) AS r FROM docs d LEFT JOIN b USING (doc_id)),
+      k AS (SELECT doc_id, title, m, f, e, r, coalesce(t, 'The paper studies ' || title || '.') AS thesis,
+       CASE WHEN m IS NULL THEN 'Method described in the paper' ELSE {label('m', CUES, 'Method described in the paper')} END AS ml,
+       CASE WHEN f IS NULL THEN 'Finding reported by the paper' ELSE {label('f', ROLES['finding'][0], 'Finding reported by the paper')} END AS fl,
+       CASE WHEN e IS NULL THEN 'Evaluation described in the paper' ELSE {subject('e')} END AS el,
+       CASE WHEN r IS NULL THEN 'Result reported by the paper' ELSE {measure('r')} END AS rl FROM w)"""
+MISSING = "'The paper does not expose a clear {} in the extracted text.'"
+
 SQL: dict[str, str] = {
+    "t9_paragraphs": rf"""WITH {DOCS}, p AS (SELECT doc_id, string_split_regex(replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)), '\n[ \t]*\n') AS ps, regexp_extract_all(replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)), '\n[ \t]*\n') AS gs FROM docs),
+      x AS (SELECT doc_id, unnest(ps) AS part, generate_subscripts(ps, 1) AS k, ps, gs FROM p),
+      y AS (SELECT doc_id, k, coalesce(list_sum(list_transform(ps[1:k - 1], lambda z: length(z))), 0) + coalesce(list_sum(list_transform(gs[1:k - 1], lambda z: length(z))), 0) + length(part) - length(regexp_replace(part, '^\s+', '')) AS start_char, regexp_replace(part, '^\s+|\s+$', '', 'g') AS part FROM x),
+      z AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY k) - 1 AS n FROM y WHERE length(part) > 0)
+      SELECT doc_id, 'paragraph-' || printf('%04d', n) AS id, CAST(n AS INT) AS "index", {sq(r"regexp_replace(part, '([A-Za-z0-9_])-\n([A-Za-z0-9_])', '\1\2', 'g')")} AS text, CAST(start_char AS INT) AS start_char, CAST(start_char + length(part) AS INT) AS end_char FROM z""",
+    "t10_chunks": f"""WITH RECURSIVE {DOCS}, n AS (SELECT doc_id, text, length(text) AS len FROM docs WHERE length(trim(text)) > 0),
+      cuts AS (SELECT doc_id, 0 AS k, CAST(0 AS BIGINT) AS a, CASE WHEN len <= 4000 THEN len ELSE {{0}} END AS b, len FROM n
+       UNION ALL SELECT c.doc_id, k + 1, greatest(b - 350, a + 1), CASE WHEN greatest(b - 350, a + 1) + 4000 >= c.len THEN c.len ELSE greatest(b - 350, a + 1) + {{1}} END, c.len FROM cuts c JOIN n USING (doc_id) WHERE b < c.len)
+      SELECT doc_id, 'chunk-' || printf('%03d', k) AS id, CAST(k AS INT) AS "index", CAST(a AS INT) AS start_char, CAST(b AS INT) AS end_char,
+       CAST(length(regexp_replace(substr(text, CAST(a + 1 AS BIGINT), CAST(b - a AS BIGINT)), '^\\s+|\\s+$', '', 'g')) AS INT) AS n_chars FROM cuts JOIN n USING (doc_id)""",
+    "ox1_concepts": f"""WITH {WIDE} SELECT doc_id, 0 AS pos, 'thesis' AS id, substr(title, 1, 72) AS label, thesis AS description, 0.84::DOUBLE AS confidence FROM k
+      UNION ALL SELECT doc_id, 1, 'method', ml, coalesce(m, {MISSING.format('method section')}), 0.80::DOUBLE FROM k UNION ALL SELECT doc_id, 2, 'finding', fl, coalesce(f, {MISSING.format('findings section')}), 0.78::DOUBLE FROM k
+      UNION ALL SELECT doc_id, 3, 'experiment', el, coalesce(e, {MISSING.format('evaluation description')}), 0.76::DOUBLE FROM k UNION ALL SELECT doc_id, 4, 'metric', rl, coalesce(r, {MISSING.format('measurable result')}), 0.73::DOUBLE FROM k""",
+    "os1_summaries": f"WITH {WIDE} SELECT doc_id, thesis || ' The strongest next check is the evidence behind ' || lower(fl) || '.' AS summary FROM k",
+    "ov2_violations": f"""WITH {CONCEPTS}, texts AS (SELECT doc_id, array_to_string(list_sort(list_distinct(list(excerpt))), ' ') AS text FROM e GROUP BY doc_id),
+      lo AS (SELECT doc_id, id, {matchable('excerpt')} AS w, {matchable('text')} AS s FROM e JOIN texts USING (doc_id)),
+      v AS (SELECT doc_id, 1 AS rule, id AS detail FROM e GROUP BY doc_id, id HAVING count(*) > 1 UNION ALL SELECT doc_id, 2, evidence_id FROM li WHERE NOT there
+       UNION ALL SELECT doc_id, 3, id FROM c WHERE NOT EXISTS (SELECT 1 FROM ce WHERE ce.doc_id = c.doc_id AND ce.concept_id = c.id)
+       UNION ALL SELECT doc_id, 4, id FROM lo WHERE NOT coalesce(length(w) > 0 AND contains(s, w), false)),
+      f AS (SELECT doc_id, min(struct_pack(rule := rule, detail := detail)) AS v FROM v GROUP BY doc_id) SELECT doc_id, v.rule AS rule, v.detail AS detail FROM f""",
+    "g1_nodes": f"""WITH {CONCEPTS}, nd AS (SELECT DISTINCT doc_id, id, kind FROM c) SELECT doc_id, id AS node_id, kind, CAST(220 * CASE kind WHEN 'method' THEN 1 WHEN 'finding' THEN 2 WHEN 'experiment' THEN 3 WHEN 'metric' THEN 4 WHEN 'concept' THEN 5 ELSE 0 END AS INT) AS x,
+      CAST(120 * (row_number() OVER (PARTITION BY doc_id, kind ORDER BY id) - 1) AS INT) AS y FROM nd""",
     "t1_body_lines": f"WITH {BODY} SELECT doc_id, page_no, CAST(pos AS INT) AS pos, line FROM body",
     "t1_body_text": f"""WITH {BODY}, step AS (SELECT *, ends_with(line, '-') AND coalesce(regexp_matches(lead(line) OVER (PARTITION BY doc_id ORDER BY page_no, pos), '^[a-z]'), false) AS on FROM body)
       SELECT doc_id, length(text) AS n_chars, md5(text) AS digest FROM (SELECT doc_id, trim(regexp_replace(string_agg(CASE WHEN "on" THEN regexp_replace(line, '-$', '') ELSE line || chr(10) END, '' ORDER BY page_no, pos), '\\n+$', '')) AS text FROM step GROUP BY doc_id)""".replace("AS on FROM", 'AS "on" FROM'),
@@ -204,3 +260,14 @@ SQL: dict[str, str] = {
     "st_windows": "SELECT epoch_us(date_trunc('hour', ts)) AS start_us, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2",
     "p5_found": P5,
 }
+
+
+def _window(a: str) -> str:
+    """Where a window from ``a`` is cut: after the last blank line or sentence end of its second half, else at 4000."""
+    w = f"substr(text, CAST({a} + 1 AS BIGINT), 4000)"
+    blank = f"(CASE WHEN contains({w}, chr(10) || chr(10)) THEN length({w}) - instr(reverse({w}), chr(10) || chr(10)) - 1 ELSE -1 END)"
+    stop = f"(CASE WHEN contains({w}, '. ') THEN length({w}) - instr(reverse({w}), ' .') - 1 ELSE -1 END)"
+    return f"(CASE WHEN {blank} >= 2000 AND {blank} >= {stop} THEN {blank} WHEN {stop} >= 2000 THEN {stop} + 2 ELSE 4000 END)"
+
+
+SQL["t10_chunks"] = SQL["t10_chunks"].replace("{0}", _window("0")).replace("{1}", _window("greatest(b - 350, a + 1)"))
