@@ -25,6 +25,8 @@ from .grams import slices
 MAX_WORDS = 50_000
 #: Lengths of the list of familiar words that are tried.
 SIZES = (100, 150, 200, 300, 500, 1000, 2000, 3000)
+#: The list is at most this part of the corpus's words, else in a small corpus every word would be familiar.
+PART = 8
 #: Passages of known level that are used at most.
 MAX_PASSAGES = 5_000
 MIN_WORDS = 40
@@ -133,13 +135,13 @@ class Model:
     def __init__(self, words: list[tuple[str, int, int]], passages: list[tuple[int, str]]):
         order = sorted((w for w in words if w[1]), key=lambda w: (-w[1], w[0]))
         rank = {w: i for i, (w, _, _) in enumerate(order)}
-        english, other = (sum(w[j] for w in words) + 1 for j in (1, 2))
+        english, other = (sum(w[j] for w in words) + 0.5 * len(words) for j in (1, 2))
         self.english = {w: float(np.clip(np.log((a + 0.5) / english) - np.log((b + 0.5) / other), -4, 4)) for w, a, b in words}
         measured = [measure(prose(t)) for _, t in passages]
         levels = np.array([level for level, _ in passages])
         self.size, self.formula = SIZES[0], Formula(np.zeros((0, 2)), np.zeros(0, int)) if not len(levels) else None
         best = None
-        for size in SIZES if len(levels) else ():
+        for size in [s for s in SIZES if s == SIZES[0] or s * PART <= len(order)] if len(levels) else ():
             x = np.array([[sum(rank.get(w, size) >= size for w in words_) / max(1, len(words_)), mean] for words_, mean in measured])
             wrong = 0.0
             for fold in range(5):
