@@ -26,7 +26,7 @@ MAX_WORDS = 50_000
 #: Lengths of the list of familiar words that are tried.
 SIZES = (100, 150, 200, 300, 500, 1000, 2000, 3000)
 #: The list is at most this part of the corpus's words, else in a small corpus every word would be familiar.
-PART = 8
+PART = 6
 #: Passages of known level that are used at most.
 MAX_PASSAGES = 5_000
 MIN_WORDS = 40
