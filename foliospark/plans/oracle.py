@@ -232,7 +232,7 @@ SQL: dict[str, str] = {
       CASE WHEN regexp_matches(coalesce(source_url, ''), '(?i)^https?://') THEN 'url' ELSE 'text' END AS source_type, coalesce({AUTHORITY}, false) AS authority FROM pp""",
     "t29_terms": rf"""WITH {PAPERS}, t AS (SELECT doc_id, unnest(string_split(title, ',')) AS part FROM pp WHERE title IS NOT NULL)
       SELECT DISTINCT doc_id, regexp_replace(regexp_replace(regexp_replace(part, '\s+', ' ', 'g'), '^[ \t\r\n,.;:()\[\]{{}}]+|[ \t\r\n,.;:()\[\]{{}}]+$', '', 'g'), '(?i)^(?:the|a|an)\s+', '') AS term FROM t""",
-    "w1_best": f"""WITH {SENTENCES}, l AS (SELECT *, {low('sentence')} AS lo FROM sents) SELECT doc_id, {', '.join(best(r) for r in ROLES)},
+    "w1_best": f"""WITH {SENTENCES}, l AS (SELECT *, {low('sentence')} AS lo FROM sents) SELECT doc_id, {', '.join(best(r) for r in ROLES if r != "approach")},
       arg_min(CASE WHEN length(sentence) >= 35 THEN {compact('sentence', 280)} ELSE sentence END, CASE WHEN length(sentence) >= 35 THEN 0 ELSE 1000000 END + idx) AS opening FROM l GROUP BY doc_id""",
     "j1_links": f"WITH {CONCEPTS} SELECT doc_id, concept_id, evidence_id, there, evidence_kind FROM li",
     "j2_dangling": f"WITH {CONCEPTS} SELECT doc_id, concept_id, evidence_id FROM li WHERE NOT there",
