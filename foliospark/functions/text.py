@@ -107,15 +107,20 @@ def for_match(text: Column) -> Column:
     return squeeze(F.replace(fold(text), F.lit("…"), F.lit("")))
 
 
-def is_anchored(excerpt: Column, source: Column) -> Column:
-    """Whether an excerpt, or its first 180 characters less the last word, stands in the source. Null and
-    empty ones don't."""
-    wanted, within = for_match(excerpt), for_match(source)
+def holds(within: Column, wanted: Column) -> Column:
+    """Whether ``wanted``, or its first 180 characters less the last word, stands in ``within``; both are
+    ``for_match`` of a text. Null and empty ones don't."""
     prefix = F.trim(F.regexp_replace(F.substring(wanted, 1, 180), r" [^ ]*$", ""))
     found = (F.length(wanted) > 0) & (F.contains(within, wanted) | ((F.length(prefix) >= 40) & F.contains(within, prefix)))
     return F.coalesce(found, F.lit(False))
 
 
+def is_anchored(excerpt: Column, source: Column) -> Column:
+    """Whether an excerpt, or its first 180 characters less the last word, stands in the source. Null and
+    empty ones don't."""
+    return holds(for_match(source), for_match(excerpt))
+
+
 def is_web_address(url: Column) -> Column:
     return F.coalesce(F.try_parse_url(url, F.lit("PROTOCOL")).isin("http", "https") & (F.length(F.try_parse_url(url, F.lit("HOST"))) > 0), F.lit(False))
 

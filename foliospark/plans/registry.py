@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -43,6 +43,23 @@ def _papers(spark: SparkSession, folder: str) -> DataFrame:
     return rows.groupBy("doc_id").agg(F.max_by(F.struct(*[c for c in rows.columns if c != "doc_id"]), "added_at").alias("p")).select("doc_id", "p.*")
 
 
+def _read_texts(spark: SparkSession, folder: str) -> DataFrame:
+    """doc_id and text of every attempt to read a paper, distinct."""
+    return _table(spark, folder, "reads").where("text is not null").groupBy("doc_id", "read_id").agg(F.max("text").alias("text")).select("doc_id", "text")
+
+
+def _run_papers(spark: SparkSession, folder: str) -> DataFrame:
+    """run_id and paper, a doc_id, of the papers a stored run names: those with its title and its address,
+    else its title, else its address. A run that names no paper has no row."""
+    runs = shred.run_tables(_table(spark, folder, "analysis_runs"))["runs"].select("run_id", "title", "source_url")
+    papers = _papers(spark, folder).select(F.col("doc_id").alias("paper"), "title", "source_url")
+    named = lambda t: t.withColumn("__title", F.nullif(T.for_match(F.col("title")), F.lit("")))
+    by_title = named(runs).join(named(papers).select("paper", "__title"), "__title").select("run_id", "paper", F.lit(2).alias("points"))
+    by_address = runs.join(papers.select("paper", "source_url"), "source_url").select("run_id", "paper", F.lit(1).alias("points"))
+    scored = by_title.unionByName(by_address).groupBy("run_id", "paper").agg(F.sum("points").alias("points"))
+    return scored.withColumn("most", F.max("points").over(Window.partitionBy("run_id"))).where("points = most").select("run_id", "paper")
+
+
 def _run_concepts(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     """Concepts and evidence of stored runs, by run."""
     tables = shred.run_tables(_table(spark, folder, "analysis_runs"))
@@ -129,6 +146,13 @@ def t26_anchored(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def t26_read_anchored(spark: SparkSession, folder: str) -> DataFrame:
+    """Evidence anchored in the text of any read of its paper."""
+    e = _evidence(spark, folder)
+    found = analysis.anchored(e, _read_texts(spark, folder)).withColumn("found", F.lit(True))
+    return e.select("doc_id", "excerpt").join(found, ["doc_id", "excerpt"], "left").groupBy("doc_id").agg(F.count("*").alias("n"), F.count("found").alias("n_anchored"))
+
+
 def t27_t33_addresses(spark: SparkSession, folder: str) -> DataFrame:
     u = F.col("source_url")
     return _papers(spark, folder).select("doc_id", T.is_web_address(u).alias("web"), T.source_type(F.coalesce(u, F.lit(""))).alias("source_type"), T.is_authority(u).alias("authority"))
@@ -140,9 +164,12 @@ def t29_terms(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def c3_candidates(spark: SparkSession, folder: str) -> DataFrame:
-    docs = _papers(spark, folder).select("doc_id", F.concat_ws(". ", "title", "abstract").alias("text"))
-    return concepts.candidates(concepts.pattern_mentions(docs)).select(
-        "doc_id", F.col("rank").cast("int").alias("rank"), "term", F.col("mentions").cast("int").alias("mentions"), F.col("start_char").cast("int").alias("start_char")
+    """Candidates of every read of a paper, and of its title and abstract, which have no read_id."""
+    reads = _table(spark, folder, "reads").where("text is not null").groupBy("doc_id", "read_id").agg(F.max("text").alias("text"))
+    front = _papers(spark, folder).select("doc_id", F.lit(None).cast("bigint").alias("read_id"), F.concat_ws(". ", "title", "abstract").alias("text"))
+    docs = reads.unionByName(front).select(F.struct("doc_id", "read_id").alias("of"), "text")
+    return concepts.candidates(concepts.pattern_mentions(docs, "of"), "of").select(
+        "of.doc_id", "of.read_id", F.col("rank").cast("int").alias("rank"), "term", F.col("mentions").cast("int").alias("mentions"), F.col("start_char").cast("int").alias("start_char")
     )
 
 
@@ -183,6 +210,16 @@ def ov2_violations(spark: SparkSession, folder: str) -> DataFrame:
     return analysis.violations(c, e, texts)
 
 
+def ov2_paper_violations(spark: SparkSession, folder: str) -> DataFrame:
+    """The rules with each run's excerpts looked for in the reads of the paper it names. Without such a
+    paper there is no text that holds them."""
+    c, e = _run_concepts(spark, folder)
+    of = _run_papers(spark, folder)
+    pieces = e.select(F.col("doc_id").alias("run_id"), "excerpt").join(of, "run_id")
+    found = analysis.anchored(pieces.withColumnRenamed("paper", "doc_id"), _read_texts(spark, folder)).withColumnRenamed("doc_id", "paper")
+    return analysis.broken_rules(c, e, pieces.join(found, ["paper", "excerpt"]).select(F.col("run_id").alias("doc_id"), "excerpt").distinct())
+
+
 def a5_quality(spark: SparkSession, folder: str) -> DataFrame:
     return analysis.quality(*_run_concepts(spark, folder))
 
@@ -250,8 +287,8 @@ def p5_tables(spark: SparkSession, folder: str) -> DataFrame:
 
 _QUERIES = (
     t1_body_lines, t1_body_text, t3_edge_keys, t4_t8_flags, t9_paragraphs, t10_chunks, t11_compact, t13_sentences, t14_t15_titles, t16_search,
-    t17_t20_labels, t23_terms, t24_relationship, t26_anchored, t27_t33_addresses, t29_terms, c3_candidates, w1_best, ox1_concepts, ox1_evidence,
-    os1_summaries, j1_links, j2_dangling, oe1_explanations, ov2_violations, a5_quality, oc1_compare, g1_nodes, g2_edges, g3_cards, k1_current,
+    t17_t20_labels, t23_terms, t24_relationship, t26_anchored, t26_read_anchored, t27_t33_addresses, t29_terms, c3_candidates, w1_best, ox1_concepts, ox1_evidence,
+    os1_summaries, j1_links, j2_dangling, oe1_explanations, ov2_violations, ov2_paper_violations, a5_quality, oc1_compare, g1_nodes, g2_edges, g3_cards, k1_current,
     k3_recent, k5_events, st1_stages, st2_states, st_windows, p5_found, p5_tables,
 )
 
