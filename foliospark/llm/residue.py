@@ -8,8 +8,8 @@ page furniture counts for neither. A page that carries a notice next to a paper
 
 from __future__ import annotations
 
+import hashlib
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,11 +24,9 @@ BITS = 18
 WINDOW_BYTES = 160
 #: Share of residue among residue and natural text from which on a text is residue.
 COVERAGE = 0.5
-#: Texts of at least MATURE_CHARS, at most this many, from which the model of natural text is fitted.
-SAMPLE_TEXTS, MATURE_CHARS = 600, 1500
-#: Shorter lines of the sample may be page furniture and aren't learned from.
+#: Shorter lines may be page furniture and aren't learned from as natural text.
 PROSE_BYTES = 45
-#: Nor are lines that, but for their numbers, stand in so many texts of the sample.
+#: Nor are lines that, but for their numbers, stand in so many distinct texts.
 FURNITURE_TEXTS = 3
 #: Texts below this size are looked through for lines of one repeated word, whatever the model says.
 SHORT_BYTES = 600
@@ -79,13 +77,12 @@ KINDS = ("natural", "residue", "furniture")
 class Model:
     """Log-probability of each n-gram bucket under each kind."""
 
-    def __init__(self, natural: list[str]):
+    def __init__(self, natural: np.ndarray):
+        """``natural`` has the count of each n-gram bucket in natural text."""
         counts = np.full((1 << BITS, len(KINDS)), 0.02)
-        spread = Counter(line for text in natural for line in {_DIGITS.sub("0", x) for x in text.split("\n")})
-        natural = [line for text in natural for line in text.split("\n") if len(line.encode("utf-8", "replace")) >= PROSE_BYTES
-                   and spread[_DIGITS.sub("0", line)] < FURNITURE_TEXTS]
+        counts[:, 0] += natural
         residue = [*_seeds(TEMPLATES), *_seeds(FILLER), *_seeds(NOTICES)]
-        for kind, (texts, times) in enumerate(((natural, 1), (residue, 3), (_seeds(FURNITURE), 3))):
+        for kind, (texts, times) in enumerate(((residue, 3), (_seeds(FURNITURE), 3)), 1):
             data = fold(np.frombuffer("\n".join(texts).encode("utf-8", "replace"), np.uint8))
             np.add.at(counts[:, kind], hashes(data, ORDER, BITS), times)
         seen = (counts >= 1).any(axis=1, keepdims=True)
@@ -125,17 +122,58 @@ class Model:
 _REPEATED = re.compile(r"^\s*([^\W\d]\w*)\W+(?:\1\W+){3,}(?:\1)?\W*$")
 
 
+def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Hash of each line of prose but for its numbers, once a text, and the hash of its text."""
+    for part in slices(batches, "__text"):
+        owner, line = [], []
+        for of, text in zip(part.column("__of").to_pylist(), part.column("__text").to_pylist()):
+            keys = {_key(x) for x in text.split("\n") if _is_prose(x)}
+            owner += [of] * len(keys)
+            line += keys
+        yield pa.RecordBatch.from_arrays([pa.array(owner, pa.int64()), pa.array(line, pa.int64())], ["of", "line"])
+
+
+def _is_prose(line: str) -> bool:
+    return len(line.encode("utf-8", "replace")) >= PROSE_BYTES
+
+
+def _key(line: str) -> int:
+    return int.from_bytes(hashlib.blake2b(_DIGITS.sub("0", line).encode("utf-8", "replace"), digest_size=8).digest(), "big", signed=True)
+
+
+def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Bucket and count of the n-grams of the prose of a task's texts, less the lines in ``__often``."""
+    counts = np.zeros(1 << BITS, np.int64)
+    for part in slices(batches, "__text"):
+        often = part.column("__often").to_pylist()
+        kept = [x for text, bad in zip(part.column("__text").to_pylist(), often) for bad in [set(bad or ())] for x in text.split("\n") if _is_prose(x) and _key(x) not in bad]
+        data = fold(np.frombuffer("\n".join(kept).encode("utf-8", "replace"), np.uint8))
+        counts += np.bincount(hashes(data, ORDER, BITS), minlength=1 << BITS)
+    seen = np.flatnonzero(counts)
+    yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(counts[seen])], ["bucket", "n"])
+
+
 def fit(reads: DataFrame, text: str = "text") -> Model:
-    """The model for a corpus; natural text is learned from at most ``SAMPLE_TEXTS`` of its texts, those of
-    at least ``MATURE_CHARS`` first, picked by hash. Without any text nothing is residue."""
-    rows = (
-        reads.select(F.col(text).alias("__text"))
-        .where(F.length("__text") > 0)
-        .orderBy(F.length("__text") < MATURE_CHARS, F.xxhash64("__text"))
-        .limit(SAMPLE_TEXTS)
-        .collect()
+    """The model for a corpus; natural text is learned from all its distinct texts. Without any
+    text nothing is residue.
+
+    Every task counts into one table of buckets; what is shuffled is line hashes and buckets, and what comes
+    to the driver is bounded by the number of buckets. Equal texts count once.
+    """
+    texts = reads.select(F.col(text).alias("__text")).where(F.length("__text") > 0)
+    once = texts.groupBy(F.xxhash64("__text").alias("__of")).agg(F.min("__text").alias("__text"))
+    lines = once.select("__of", "__text").mapInArrow(_lines, "of bigint, line bigint")
+    often = lines.groupBy("line").agg(F.count("*").alias("n")).where(F.col("n") >= FURNITURE_TEXTS).select("line")
+    owned = lines.join(often, "line").groupBy(F.col("of").alias("__of")).agg(F.collect_list("line").alias("__often"))
+    counted = (
+        once.join(owned, "__of", "left").select("__text", "__often")
+        .mapInArrow(_grams, "bucket bigint, n bigint")
+        .groupBy("bucket").agg(F.sum("n").alias("n"))
+        .toArrow()
     )
-    return Model([r[0] for r in rows])
+    natural = np.zeros(1 << BITS)
+    natural[counted.column("bucket").to_numpy()] = counted.column("n").to_numpy()
+    return Model(natural)
 
 
 def flag_residue(reads: DataFrame, key: str = "read_id", text: str = "text", model: Model | None = None) -> DataFrame:

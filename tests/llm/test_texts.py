@@ -47,6 +47,19 @@ def test_residue(spark):
     assert residue.flag_residue(reads.limit(0)).count() == 0
 
 
+def test_natural_text_is_learned_from_every_distinct_text(spark):
+    copy = prose(200, 7)
+    natural = [copy] * 1500 + ["\n".join(prose(2, 10 * k + j) for j in range(12)) for k in range(30)]
+    script = "\n".join("".join(chr(0x4E00 + int(c)) for c in np.random.default_rng(j).integers(0, 40, 60)) for j in range(30))
+    rows = [(i, t) for i, t in enumerate([*natural, script])]
+    reads = spark.createDataFrame(rows, "read_id long, text string")
+    model = residue.fit(reads)
+    data, _ = grams.span(pa.array([script, natural[-1]]))
+    assert (model.table[grams.hashes(grams.fold(data), residue.ORDER, residue.BITS)].argmax(axis=1) == 0).mean() > 0.9
+    notice = "\nThe page you are looking for could not be found."
+    assert not model.residue(pa.array([natural[-1] + notice, script + notice])).any()
+
+
 def test_trees_learn_an_interaction():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(4000, 5))
