@@ -276,13 +276,10 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p5_tables(spark: SparkSession, folder: str) -> DataFrame:
-    """How many rows each of the flat tables has."""
-    tables = shred.run_tables(_table(spark, folder, "analysis_runs"))
-    counts = [t.agg(F.lit(name).alias("entity"), F.count("*").alias("n")) for name, t in tables.items()]
-    out = counts[0]
-    for c in counts[1:]:
-        out = out.unionByName(c)
-    return out
+    """The rows of all flat tables as one: run_id, entity (the path of the list), ordinals, whose first members
+    are the parent's, and every field with its value."""
+    flat = shred.shred_latest(_table(spark, folder, "analysis_runs"), "run_id", "created_at", "response_json")
+    return shred.grouped(flat, "run_id").select("run_id", F.col("group").alias("entity"), "ordinals", F.map_entries("fields").alias("fields"))
 
 
 _QUERIES = (

@@ -1,6 +1,9 @@
 import json
 
+import pytest
+
 from foliospark.operators import shred, store
+from foliospark.operators.records import Unreadable, read
 
 RUN = {
     "run_id": "r",
@@ -51,10 +54,56 @@ def test_tables_lead_to_parents(spark):
     assert {tuple(r["ordinals"]): r["evidence_id"] for r in tables["concept_evidence"].collect()} == {(0, 0): "e1", (0, 2): "e2", (2, 0): "e3"}
 
 
-def test_deep_nesting_and_long_texts():
-    deep = "[" * 5000 + "]" * 5000
-    assert shred.unwrap(deep) is None
-    assert list(shred.triples({"a": "x" * 100_000}, frozenset()))[1][3] == "x" * 100_000
+def test_deep_nesting_and_long_texts(spark):
+    from datetime import datetime
+
+    levels = 10_000
+    deep = '{"a":' * levels + '"end"' + "}" * levels
+    assert len(read(deep)) == levels + 1 and read(deep)[-1][3] == "end"
+    assert read('{"a":' + "[" * levels + "7" + "]" * levels + "}")[-1][1] == [0] * levels
+    assert read(json.dumps({"a": "x" * 100_000}))[1][3] == "x" * 100_000
+    text = '{"warnings":["w"],"extra":' + deep + "}"
+    assert [r["item_id"] for r in shred.run_elements(runs(spark, [("r", datetime(2024, 1, 1), text, "p")])).collect()] == ["0"]
+
+
+def test_reader_agrees_with_the_plain_one():
+    values = [1, -2.5e3, "a", 'q"\\\n\u00e9', "", True, False, None, [], {}, [1, [2, {"x": None}]], {"k": [{"z": 1}, "s"]}]
+    for v in values:
+        for text in (json.dumps({"v": v, "w": v}), json.dumps({"v": v, "w": v}, indent=2)):
+            want = []
+
+            def walk(path, ordinals, x):
+                if isinstance(x, dict):
+                    want.append((path, ordinals, "object", None))
+                    [walk(f"{path}.{k}" if path else k, ordinals, y) for k, y in x.items()]
+                elif isinstance(x, list):
+                    [walk(path + "[]", [*ordinals, i], y) for i, y in enumerate(x)]
+                elif x is not None:
+                    kind = "boolean" if isinstance(x, bool) else "string" if isinstance(x, str) else "number"
+                    want.append((path, ordinals, kind, x if kind == "string" else json.dumps(x)))
+
+            walk("", [], json.loads(text))
+            assert read(text) == want
+
+
+def test_reader_edges():
+    assert [t[0] for t in read('{"a.b":1,"a":{"b":2},"c[]":3}')] == ["", "a\\.b", "a", "a.b", "c\\[\\]"]
+    assert read('{"a":{"x":1},"a":2}') == [("", [], "object", None), ("a", [], "number", "2")]
+    assert read('{"response":{"a":1},"b":2}', wrappers=("response",)) == read('{"a":1}') == read(json.dumps('{"a":1}'))
+    assert read('{"l":"x"}', frozenset({"l"}))[-1] == ("l[]", [0], "string", "x")
+    for bad in ('{"a":1,}', '{"a" 1}', "[1]", '{"a":1} x', '{"a":[1,]}', "{", '{"a":[}', '{"a":01}', '{"a":tru}', '""', "", "7", '{"a":"\n"}'):
+        with pytest.raises(Unreadable):
+            read(bad)
+
+
+def test_unknown_fields_and_unreadable_texts_are_kept(spark):
+    from datetime import datetime
+
+    t = datetime(2024, 1, 1)
+    tables = shred.run_tables(runs(spark, [("r", t, json.dumps({**RUN, "usage": {"retries": 2}, "concepts": [{"id": "a", "odd": "o"}]}), "p"), ("s", t, "{", "p")]))
+    assert tables["concepts"].first()["rest"] == {"odd": "o"}
+    assert tables["runs"].where("run_id = 'r'").first()["rest"]["usage.retries"] == "2"
+    assert [r["run_id"] for r in tables["unreadable"].collect()] == ["s"]
 
 
 def test_model_output(spark):
