@@ -257,15 +257,15 @@ def run_elements(runs: DataFrame, key: str = "run_id", at: str = "created_at", t
     holder = F.max(F.when(F.col("entity").isin("concepts", "explanations"), F.col("item"))).over(
         _window(key, "__digest", family, ordinals[0])
     )
-    return pivoted.select(
-        key,
-        "entity",
+    parent_id = (
         F.when(F.col("entity").isin(*[n for n, p in of_parent.items() if p != ""]), holder)
         .when(F.col("entity") == "relationship_papers", ordinals[0].cast("string"))
         .otherwise(F.col(key).cast("string"))
-        .alias("parent_id"),
-        F.when(F.col("entity").isin(*by_position), F.element_at(ordinals, -1).cast("string")).otherwise(F.col("item")).alias("item_id"),
-    ).distinct()
+    )
+    item_id = F.when(F.col("entity").isin(*by_position), F.element_at(ordinals, -1).cast("string")).otherwise(F.col("item"))
+    # distinct within the digest, of which each key has one, so that the partitioning serves once more
+    found = pivoted.select(key, "__digest", "entity", parent_id.alias("parent_id"), item_id.alias("item_id"))
+    return found.distinct().drop("__digest")
 
 
 def _window(*by):
