@@ -142,14 +142,33 @@ def _split(limit: int, overlap: int):
     return run
 
 
+#: Words of 64 bits of the set of keys by which rows are picked out before they are shuffled; 4 MB, whatever the corpus.
+SET_WORDS = 1 << 18
+
+
+def likely_in(rows: DataFrame, key: str, keys: DataFrame) -> DataFrame:
+    """The rows whose ``key`` is likely one of those in the only column of ``keys``, without a shuffle of ``rows``.
+
+    The keys are hashed into a set of bits of a fixed size, which is broadcast; no row whose key is among
+    them is lost, others may stay (about one in ``64 * SET_WORDS`` for each key).
+    """
+    word = lambda c: F.expr(f"pmod(shiftright({c}, 6), {SET_WORDS})")
+    bit = lambda c: F.expr(f"shiftleft(1L, int({c} & 63))")
+    hashed = keys.select(F.xxhash64(keys.columns[0]).alias("__h"))
+    bits = hashed.groupBy(word("__h").alias("__word")).agg(F.bit_or(bit("__h")).alias("__bits"))
+    at = rows.withColumn("__h", F.xxhash64(key)).withColumn("__word", word("__h"))
+    inside = at.join(F.broadcast(bits), "__word").where(F.col("__bits").bitwiseAND(bit("__h")) != 0)
+    return inside.select(*rows.columns)
+
+
 def split_chunks(chunks: DataFrame, reads: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP) -> DataFrame:
     """Pieces of the chunks whose text is longer than ``limit``: read_id, id, piece, text, start_char,
     end_char, located.
 
     Offsets are those in the read's text where the chunk is found there (``located``), whatever the
     stored offsets say; else in the chunk's own text. A key that occurs twice counts once, with its
-    greatest text. Null texts aren't oversized. Only the reads of oversized chunks are looked up; other
-    columns of either table are ignored.
+    greatest text. Null texts aren't oversized. Only the texts of the reads of oversized chunks are
+    shuffled, which are picked out by a set of their ids; other columns of either table are ignored.
     """
     big = (
         chunks.select(F.col("read_id").alias("__read"), F.col("id").alias("__id"), F.col("text").alias("__text"), F.col("start_char").alias("__start"))
@@ -159,7 +178,7 @@ def split_chunks(chunks: DataFrame, reads: DataFrame, limit: int = LIMIT, overla
         .select("__read", "__id", "__c.__text", "__c.__start")
     )
     source = (
-        reads.select(F.col("read_id").alias("__read"), F.col("text").alias("__source"))
+        likely_in(reads.select(F.col("read_id").alias("__read"), F.col("text").alias("__source")), "__read", big.select("__read"))
         .join(big.select("__read").distinct(), "__read", "left_semi")
         .groupBy("__read")
         .agg(F.max("__source").alias("__source"))
