@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 #: Bytes of text taken at once; bounds the memory of the arrays derived from them.
 SLICE_BYTES = 2_000_000
@@ -73,3 +76,27 @@ def sums(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray
     """Sum of ``values`` over each half-open range."""
     total = np.concatenate([np.zeros((1, *values.shape[1:])), np.cumsum(values, axis=0, dtype=np.float64)])
     return total[ends] - total[starts]
+
+
+def totals(counted: DataFrame, bits: int) -> np.ndarray:
+    """The sums of all columns after ``bucket`` for every bucket, as one array a column.
+
+    ``counted`` has rows of a task's own counts. They are summed by bucket; one task packs the sums, so that
+    the driver gets one short row, whose size depends on the number of buckets alone.
+    """
+    names = counted.columns[1:]
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = np.zeros((len(names), 1 << bits), np.float32)
+        for batch in batches:
+            at = batch.column(0).to_numpy()
+            for row, name in zip(table, names):
+                row[at] = batch.column(name).to_numpy()
+        yield pa.RecordBatch.from_arrays([pa.array([zlib.compress(table.tobytes(), 1)], pa.binary())], ["packed"])
+
+    summed = counted.groupBy("bucket").agg(*(F.sum(n).alias(n) for n in names))
+    packed = summed.repartition(1).mapInArrow(pack, "packed binary").collect()
+    out = np.zeros((len(names), 1 << bits), np.float32)
+    for row in packed:  # without any rows there may be no task
+        out = np.frombuffer(zlib.decompress(row[0]), np.float32).reshape(len(names), 1 << bits)
+    return out

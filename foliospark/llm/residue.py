@@ -1,15 +1,18 @@
 """Texts that are template residue, filler, error or access pages in place of a paper.
 
-Character n-gram models of residue (unfilled templates, filler, notices), of page furniture and of
-natural text give each window of a text the likelihood of each kind. Windows of residue and of natural
-text are weighed by their coverage: a text is residue if it has residue and hardly any natural text;
-page furniture counts for neither. A page that carries a notice next to a paper has mostly natural text.
+Character n-gram models of residue, of page furniture and of natural text give each window of a text the
+likelihood of each kind. Windows of residue and of natural text are weighed by their coverage: a text is
+residue if it has residue and hardly any natural text; furniture counts for neither, so a page that
+carries a notice next to a paper stays.
+
+All three models are learned from the corpus. Natural text is the prose of texts with a body, furniture
+their short lines. Residue is what stands where no body is: lines that occur, but for their numbers, in
+several unrelated papers and mostly in reads without natural text, and then what else the texts hold that
+these lines give away. A few wordings of a general kind start it off in small corpora.
 """
 
 from __future__ import annotations
 
-import hashlib
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,74 +20,75 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .grams import fold, hashes, line_starts, slices, span, sums
+from ..session import durable
+from .grams import fold, hashes, line_starts, slices, span, sums, totals
 
 ORDER = 4
 BITS = 18
 WINDOW_BYTES = 160
 #: Share of residue among residue and natural text from which on a text is residue.
 COVERAGE = 0.5
-#: Shorter lines may be page furniture and aren't learned from as natural text.
+#: Lines of so many bytes are prose, shorter ones may be headings and furniture.
 PROSE_BYTES = 45
-#: Nor are lines that, but for their numbers, stand in so many distinct texts.
-FURNITURE_TEXTS = 3
-#: Texts below this size are looked through for lines of one repeated word, whatever the model says.
-SHORT_BYTES = 600
-
-# Wordings of residue, as an editor would list them.
-TEMPLATES = """
-Title: XXXX | Authors: [Author Name] | Abstract: {0} | Keywords: @@SUMMARY@@ | Title: {{ paper.title }} | Abstract: {{ paper.abstract }}
-Authors: [Insert authors here] | Abstract: [Insert abstract here] | Abstract: %ABSTRACT% | Keywords: <TITLE> | Received: {keywords|join} | Correspondence: {0}
-Title: <%= article.text %> | Authors: [YOUR TEXT] | Abstract: {% block body %} | {% include header %} | {% for item in items %} | ${title} | ${start} | #{id} | $USER | %SENDER% | %TITLE%
-Dear [NAME], | Dear {reader}, | Dear {{first_name}}, | Dear $USER, | The [DEPARTMENT] team | {{signature}} | [DATE] | [TITLE] | {{ title }} | {{ date }} | <document title>
-thank you for your interest in {{ title }}. The full text of {{title}} is available from ${start}. | thank you for your interest in [TITLE]. The full text of item #{id} is available from [DATE].
-Author One, Author Two and Author Three | Author A, Author B | [Affiliation, City, Country] | Section heading | Heading goes here | Caption of figure goes here | Title goes here | Untitled | Untitled document | Sample article | Sample page
-Your text here. Replace this paragraph with your own words. | Delete this instruction before you submit. | Type the abstract in this box (max 250 words). | Click to add text | Click to add title | Click here to enter text.
-Bullet 1 | Paragraph 2 text. | Insert paragraph 3 here. | Heading 4 | Dummy sentence number 7. | Dummy text | Placeholder text | Lead paragraph goes here. | Enter your text here
-Name: (please fill in) | Date: (please fill in) | Journal: (please fill in) | Reviewer: (please fill in) | Methods: (please fill in) | Summary (required): (please fill in) | Summary (required): n/a | Name: n/a | Date: n/a | Methods: n/a | Journal: n/a | Reviewer: n/a | Name: - | Date: - | Journal: - | Methods: - | Reviewer: - | Summary (required): - | Name: ____________ | Date: ____________ | Journal: ........................ | Methods: .................. | Summary (required): ________________ | TBD | TODO | to be completed
+#: Texts with so many bytes of prose have a body, from which natural text and furniture are learned.
+BODY_BYTES = 1_600
+#: Texts with less natural text than this may be residue, and are looked through for wordings that repeat.
+BARE_BYTES = 300
+#: A line of residue occurs in so many papers, and so many times as often in reads without natural text as in others.
+PAPERS, EXCESS = 3, 2
+#: Rounds in which what the texts found hold is learned as well.
+ROUNDS = 2
+#: Longest word of a window that is one word again and again, with what parts it from the next.
+LONGEST_PERIOD = 16
+
+# Residue of a general kind, known without any corpus: the usual filler, placeholders of common template
+# languages, editors and forms, status codes and messages of common software, and requests for scripts or a login.
+SEEDS = """
+Lorem ipsum dolor sit amet, consectetur adipiscing elit, sed do eiusmod tempor incididunt ut labore et dolore magna aliqua.
+Ut enim ad minim veniam, quis nostrud exercitation ullamco laboris nisi ut aliquip ex ea commodo consequat.
+Duis aute irure dolor in reprehenderit in voluptate velit esse cillum dolore eu fugiat nulla pariatur.
+Excepteur sint occaecat cupidatat non proident, sunt in culpa qui officia deserunt mollit anim id est laborum.
+Vestibulum ante ipsum primis in faucibus orci luctus et ultrices posuere cubilia curae. Pellentesque habitant morbi tristique senectus et netus et malesuada fames ac turpis egestas.
+Integer tellus urna, porta semper quam sagittis. Nulla porttitor massa, arcus nunc tellus semper.
+{{ name }} {{name}} {{ user.name }} ${name} #{name} %NAME% [NAME] [YOUR NAME] <name> [[name]] @@NAME@@ {name} <%= name %> {% if name %} {% endif %} {% block name %} {% include name %}
+Dear {name}, Dear [Name], Sincerely, {{name}}, the [COMPANY] team. Thank you for your order {{ order.id }}.
+Title: [Insert title here] Author: [Insert author here] Abstract: {{ abstract }} Date: [DATE] Name: ________ Date: ........ Address: (to be filled in) Signature: N/A Notes: TBD TODO
+Click here to add a subtitle. Enter text here. Placeholder text. Replace this text with your own text. Type your abstract here. Insert figure here. Figure caption here. Delete these instructions. Sample text. Untitled. Your title here. Paragraph 1. Heading 1. Item 1.
+400 Bad Request
+401 Unauthorized
+403 Forbidden
+404 Not Found
+410 Gone
+429 Too Many Requests
+500 Internal Server Error
+502 Bad Gateway
+503 Service Unavailable
+504 Gateway Timeout
+This page could not be found. The requested page does not exist or was moved. The server encountered an error and could not complete your request. The server did not respond in time. Something went wrong. Contact the administrator. Go back to the home page.
+Access denied. You do not have permission to access this page. Please log in to continue. Your session timed out. Please sign in again. Please try again later. No results found. Coming soon. Under construction. This content is not available. This item was withdrawn. This domain is for sale. Inquire about this domain.
+Please enable JavaScript to view this page. JavaScript is disabled in your browser. This site requires scripts and cookies. Please turn on JavaScript and reload the page. Checking your browser before you go on to the site. This may take some seconds. Please verify that you are a human. Loading, please wait.
+Seite nicht gefunden. JavaScript muss im Browser aktiviert sein. Page introuvable. Vous devez activer JavaScript dans votre navigateur. No encontrada. Debe habilitar JavaScript en su navegador. Pagina non trovata. Attivare JavaScript nel browser.
+Traceback (most recent call last):
+File "/usr/lib/app/main.py", line 10, in run
+RuntimeError: unexpected error. KeyError: 'id'. ValueError: invalid value. TypeError: object is not callable. TimeoutError: timed out. TemplateSyntaxError: unexpected tag. Exception in thread "main" java.lang.NullPointerException
+SQLSTATE[42000]: Syntax error in query. ERROR: relation "users" does not exist. Warning: include(header.php): failed to open stream: No such file. Fatal error: Allowed memory size of 1024 bytes exhausted. Uncaught exception.
+{"error": {"code": 500, "message": "internal error"}} {"status": "error", "detail": "timed out"} <Error><Code>NoSuchKey</Code><Message>The specified key does not exist.</Message><RequestId>1</RequestId></Error>
 """
-FILLER = """
-lorem ipsum dolor sit amet consectetur adipiscing elit sed do eiusmod tempor incididunt ut labore et dolore magna aliqua. Ut enim ad minim veniam quis nostrud exercitation ullamco laboris nisi ut aliquip ex ea commodo consequat. Duis aute irure dolor in reprehenderit in voluptate velit esse cillum dolore eu fugiat nulla pariatur. Excepteur sint occaecat cupidatat non proident sunt in culpa qui officia deserunt mollit anim id est laborum.
-Pellentesque massea semper tellus integra porta urna arcus lorem ipsum dolor velat vitrum quantor morbian corsit dictor nubis aminum nonum facilon sagitur congerit elipsam pellat. Integra massea lorem porta tellus. Sagitur semper ipsum vitrum. Urna nubis arcus dolor lorem quantor. Vestibulum ante ipsum primis in faucibus orci luctus et ultrices posuere cubilia curae. Morbi tristique senectus et netus et malesuada fames ac turpis egestas.
-test test test test test test test | asdf asdf asdf asdf asdf asdf | blah blah blah blah blah blah | foo bar baz foo bar baz | qwerty qwerty qwerty | xxx xxx xxx xxx xxx xxx | null null null null null | null | undefined undefined undefined undefined | NaN, NaN, NaN, NaN, NaN, NaN, | none none none none | abc abc abc abc | aaa aaa aaa aaa | 0 0 0 0 0 0 0 0 | -- -- -- -- --
-"""
-NOTICES = """
-404 Not Found | 403 Forbidden | 410 Gone | 500 Internal Server Error | 502 Bad Gateway | 503 Service Temporarily Unavailable | 504 Gateway Time-out | Gateway timeout | Error 404 | Error 500 | Access denied | Too many requests (429) | Bad request | Ref 45a64bb1c6
-The page you are looking for could not be found. | It may have been moved or deleted. | You don't have permission to view this resource. | The upstream server returned an invalid response. | The connection was closed before a response was received. | Please try again in a few minutes. | Please try again later. | Our engineers have been notified. | Sorry, something went wrong on our side. | An unexpected condition was met while rendering block 7. | If the problem persists, contact the administrator and quote request 7. | Back to the start page | This page isn't working. | The server is temporarily unable to service your request.
-Die angeforderte Seite wurde nicht gefunden. | La page demandée est introuvable. | No se pudo encontrar el documento solicitado. | La pagina richiesta non è stata trovata. | Bitte aktivieren Sie JavaScript, um diesen Beitrag zu lesen. | Veuillez activer les scripts pour afficher cette page. | Para ver esta página debe activar JavaScript. | Abilita JavaScript per vedere questa pagina.
-You need to enable JavaScript to run this app. | JavaScript is required. Reload the page after switching it on. | Please turn on scripts in your browser to read this article. | This content cannot be shown because scripting is disabled. | Loading… If nothing happens your browser may block active content. | Loading... | Please wait while we check your browser. | Verify that you are human to continue. | Checking your browser before you continue. | Checking your browser before you proceed. This takes about 6 seconds. | Please complete the captcha | Cookies must be enabled to view this page.
-Your session has expired. Log in again to open this record. | Your institution does not have access to this item. | Sign in to read the full text. | Subscribe to read this article. | This record has been withdrawn from public view; no text is available. | No results to display. | Content coming soon. | Under construction: the text of this item will appear here. | This item is not available. | This domain is parked. Inquire about buying this domain. | This domain is for sale. | The document could not be loaded.
-Traceback (most recent call last): | File "/srv/app/views.py", line 740, in load | File "/srv/app/render.py", line 12, in build | File "/srv/app/db.py", line 302, in get | File "/srv/app/cache.py", line 31, in handle | KeyError: 'abstract' | ValueError: empty body | TemplateError: unknown tag | TimeoutError: backend did not answer | TypeError: 'NoneType' object is not subscriptable | NullPointerException at com.app.Main
-SQLSTATE[HY000]: server has gone away in query 5324 | ORM error 87993: relation "paper_text" does not exist | Warning: include(/tpl/article_37417.inc): failed to open stream | Fatal: allowed memory of 63124 bytes exhausted while building the page | Fatal error: Uncaught exception | segmentation fault | Undefined index: title
-<Error><Code>400</Code><Message>The specified object does not exist.</Message><RequestId>bd1d30f6289d</RequestId></Error> | <Error><Code>AccessDenied</Code><Message>Access Denied</Message></Error> | {"status": 404, "detail": "upstream timed out", "id": "ab3e979c9ee9"} | {"error": "not found", "code": 404, "message": "no such record"}
-"""
-# Wordings of page furniture.
-FURNITURE = """
-Skip to content | Home > Journals > Volume 7 > Issue 6 | Home > Browse > Volume 7 > Issue 1 | Terms of use | Privacy notice | Accessibility | Careers | Legal | Contact the editors | Back to top | Sitemap | Newsletter: enter your e-mail address | Impressum  Datenschutz  Kontakt | Registered charity no. 77 | Powered by PageLoom 7 | Last updated 77 days ago | All rights reserved. | Published by | Part of the Harbour Press family of journals | Part of the Northern Library family of journals | Harbour Press, 823 Harbour Lane, Unit 823 | Northern Depot, 7 Station Road | © 2020 Harbour Press. All rights reserved. | Published by Northern Library | Join our newsletter | Press | Library | Exchange | Depot | Mirror | Reader | Index
-Home Search Sign in Archive Journals Browse Authors Register Startseite For librarians My account Collections Contact Topics Help Donate Events Editors Shop Menu Subscribe Buscar About News Accueil Submit | • Menu | • News | • Events | • Buscar | • My account | • Submit | • Register
-Share this article | Print page | Accept | Cookie settings | Related articles | In this issue | Comments | Sort by newest | Listen to this article | Views: 77 | Get alerts for this topic | Download citation
-"""
-
-
-def _seeds(block: str) -> list[str]:
-    return [s.strip() for line in block.strip().splitlines() for s in line.split(" | ") if s.strip()]
+KINDS = ("natural", "residue", "furniture")
+_LETTER = np.zeros(256, bool)
+_LETTER[[*range(65, 91), *range(97, 123), *range(128, 256)]] = True
 
 
-_DIGITS = re.compile(r"\d+")
-KINDS = ("natural", "residue", "furniture")
+def seed_counts(seeds: str = SEEDS) -> np.ndarray:
+    data = fold(np.frombuffer("\n".join(x.strip() for x in seeds.strip().splitlines()).encode(), np.uint8))
+    return np.bincount(hashes(data, ORDER, BITS), minlength=1 << BITS).astype(np.float64)
 
 
 class Model:
-    """Log-probability of each n-gram bucket under each kind."""
-
-    def __init__(self, natural: np.ndarray):
-        """``natural`` has the count of each n-gram bucket in natural text."""
-        counts = np.full((1 << BITS, len(KINDS)), 0.02)
-        counts[:, 0] += natural
-        residue = [*_seeds(TEMPLATES), *_seeds(FILLER), *_seeds(NOTICES)]
-        for kind, (texts, times) in enumerate(((residue, 3), (_seeds(FURNITURE), 3)), 1):
-            data = fold(np.frombuffer("\n".join(texts).encode("utf-8", "replace"), np.uint8))
-            np.add.at(counts[:, kind], hashes(data, ORDER, BITS), times)
+    """Log-probability of each n-gram bucket under each kind, from the counts of the buckets in texts of each kind."""
+
+    def __init__(self, natural: np.ndarray, residue: np.ndarray, furniture: np.ndarray):
+        counts = np.stack([natural, residue, furniture], axis=1) + 0.02
         seen = (counts >= 1).any(axis=1, keepdims=True)
         table = np.log(counts / counts.sum(axis=0))
         # one n-gram alone decides nothing: its weight is bounded, and one never seen has none
@@ -102,78 +106,170 @@ class Model:
         scores = sums(self.table[hashes(fold(data), ORDER, BITS)], begin, np.maximum(begin, end - 1))
         kind = scores.argmax(axis=1)
         kind[scores.max(axis=1) - scores.min(axis=1) < 2.0] = -1
+        kind[repeated(data, begin, end)] = 1
         return begin, end - begin, np.repeat(rows, parts), kind
 
-    def residue(self, texts: pa.Array) -> np.ndarray:
-        """Whether each text is residue; never for nulls and empty texts."""
-        data, offsets = span(texts)
-        _, size, row, kind = self.windows(data, offsets)
+    def weigh(self, data: np.ndarray, offsets: np.ndarray) -> tuple[tuple[np.ndarray, ...], np.ndarray, np.ndarray]:
+        """The windows, and the bytes of residue and of natural text of each text."""
+        found = self.windows(data, offsets)
+        _, size, row, kind = found
         count = len(offsets) - 1
-        bad = np.bincount(row[kind == 1], size[kind == 1], minlength=count)
-        good = np.bincount(row[kind == 0], size[kind == 0], minlength=count)
-        flags = (bad > 0) & (bad >= COVERAGE * (bad + good))
-        for i in np.flatnonzero(~flags & ((good < 0.8 * np.diff(offsets)) | (np.diff(offsets) < SHORT_BYTES))):  # a repeated word needs no model
-            lines = texts[int(i)].as_py() or ""
-            dull = sum(len(x) for x in lines.split("\n") if _REPEATED.match(x))
-            flags[i] = dull > 0 and dull + bad[i] >= COVERAGE * (dull + bad[i] + good[i] * (good[i] > dull))
-        return flags
-
+        return found, np.bincount(row[kind == 1], size[kind == 1], minlength=count), np.bincount(row[kind == 0], size[kind == 0], minlength=count)
 
-_REPEATED = re.compile(r"^\s*([^\W\d]\w*)\W+(?:\1\W+){3,}(?:\1)?\W*$")
-
-
-def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Hash of each line of prose but for its numbers, once a text, and the hash of its text."""
+    def residue(self, texts: pa.Array) -> np.ndarray:
+        """Whether each text is residue; never for nulls and empty texts."""
+        _, bad, good = self.weigh(*span(texts))
+        return (bad > 0) & (bad >= COVERAGE * (bad + good))
+
+
+def repeated(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Whether each window is one short word again and again: it equals itself some bytes further on."""
+    out = np.zeros(len(begin), bool)
+    if not len(begin):
+        return out
+    low = np.where((data >= 65) & (data <= 90), data + np.uint8(32), data)
+    size = end - begin
+    for period in range(3, LONGEST_PERIOD + 1):
+        same = np.concatenate([[0], np.cumsum(low[period:] == low[:-period], dtype=np.int32)]) if len(low) > period else np.zeros(1, np.int32)
+        last = np.clip(end - period, 0, len(same) - 1)
+        first = np.minimum(begin, last)
+        out |= (size >= 4 * period) & (same[last] - same[first] >= 0.95 * (size - period))
+    some = np.flatnonzero(out)
+    letters = np.concatenate([[0], np.cumsum(_LETTER[data], dtype=np.int32)])
+    out[some] = letters[end[some]] - letters[begin[some]] >= 0.5 * size[some]
+    return out
+
+
+def _bodies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Bucket counts of the prose and of the short lines of a task's texts with a body."""
+    counts = np.zeros((2, 1 << BITS), np.int64)
     for part in slices(batches, "__text"):
-        owner, line = [], []
-        for of, text in zip(part.column("__of").to_pylist(), part.column("__text").to_pylist()):
-            keys = {_key(x) for x in text.split("\n") if _is_prose(x)}
-            owner += [of] * len(keys)
-            line += keys
-        yield pa.RecordBatch.from_arrays([pa.array(owner, pa.int64()), pa.array(line, pa.int64())], ["of", "line"])
-
-
-def _is_prose(line: str) -> bool:
-    return len(line.encode("utf-8", "replace")) >= PROSE_BYTES
-
-
-def _key(line: str) -> int:
-    return int.from_bytes(hashlib.blake2b(_DIGITS.sub("0", line).encode("utf-8", "replace"), digest_size=8).digest(), "big", signed=True)
-
+        data, offsets = span(part.column("__text"))
+        starts, ends, rows = line_starts(data, offsets)
+        size = ends - starts
+        prose = size >= PROSE_BYTES
+        body = np.bincount(rows[prose], size[prose], minlength=len(offsets) - 1) >= BODY_BYTES
+        kind = np.where(body[rows], np.where(prose, 1, 2), 0).astype(np.int8)
+        # each byte has its line's kind; line breaks between them have none
+        of = np.zeros(len(data), np.int8)
+        step = np.zeros(len(data) + 1, np.int8)
+        np.add.at(step, starts, kind)
+        np.subtract.at(step, ends, kind)
+        of = np.cumsum(step[:-1], dtype=np.int8)
+        code = hashes(fold(data), ORDER, BITS)
+        for k in (1, 2):
+            counts[k - 1] += np.bincount(code[of == k], minlength=1 << BITS)
+    seen = np.flatnonzero(counts.any(axis=0))
+    yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(counts[0, seen]), pa.array(counts[1, seen])], ["bucket", "natural", "furniture"])
+
+
+def _line_keys(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each line but for its numbers and outer blanks."""
+    plain = fold(data)
+    keep = np.ones(len(data), bool)
+    keep[1:] = ~((plain[1:] == 48) & (plain[:-1] == 48)) & ~((plain[1:] == 32) & (plain[:-1] == 32))
+    place = np.concatenate([[0], np.cumsum(keep)])
+    kept = plain[keep].astype(np.uint64) + np.uint64(1)
+    base = np.uint64(0x9E3779B97F4A7C15 | 1)
+    power = np.cumprod(np.concatenate([[np.uint64(1)], np.full(len(kept), base)]).astype(np.uint64))
+    total = np.concatenate([[np.uint64(0)], np.cumsum(kept * power[:-1], dtype=np.uint64)])
+    inverse = np.cumprod(np.concatenate([[np.uint64(1)], np.full(len(kept), np.uint64(pow(int(base), -1, 1 << 64)))]).astype(np.uint64))
+    code = (total[place[ends]] - total[place[starts]]) * inverse[place[starts]]
+    return ((code ^ (code >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)).view(np.int64)
+
+
+def _bare(model):
+    """The texts of a task without natural text, whole; and of its other texts, how often they hold each line that isn't natural."""
 
-def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Bucket and count of the n-grams of the prose of a task's texts, less the lines in ``__often``."""
-    counts = np.zeros(1 << BITS, np.int64)
-    for part in slices(batches, "__text"):
-        often = part.column("__often").to_pylist()
-        kept = [x for text, bad in zip(part.column("__text").to_pylist(), often) for bad in [set(bad or ())] for x in text.split("\n") if _is_prose(x) and _key(x) not in bad]
-        data = fold(np.frombuffer("\n".join(kept).encode("utf-8", "replace"), np.uint8))
-        counts += np.bincount(hashes(data, ORDER, BITS), minlength=1 << BITS)
-    seen = np.flatnonzero(counts)
-    yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(counts[seen])], ["bucket", "n"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["line", "n", "of", "text"]
+        for part in slices(batches, "__text"):
+            data, offsets = span(part.column("__text"))
+            (begin, _, row, kind), _, good = model.value.weigh(data, offsets)
+            bare = np.flatnonzero((good < BARE_BYTES) & (np.diff(offsets) > 0))
+            starts, ends, rows = line_starts(data, offsets)
+            other = (ends > starts) & (good[rows] >= BARE_BYTES)
+            starts, ends = starts[other], ends[other]
+            first = kind[np.searchsorted(begin, starts)] != 0 if len(starts) else np.zeros(0, bool)
+            line, n = np.unique(_line_keys(data, starts[first], ends[first]), return_counts=True)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(np.concatenate([np.zeros(len(bare), np.int64), line])), pa.array(np.concatenate([np.zeros(len(bare), np.int64), n])),
+                    pa.concat_arrays([part.column("__of").take(pa.array(bare)), pa.nulls(len(line), pa.int64())]),
+                    pa.concat_arrays([part.column("__text").take(pa.array(bare)).cast(pa.string()), pa.nulls(len(line), pa.string())]),
+                ],
+                names,
+            )
+
+    return run
+
+
+def _bare_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The lines of the texts without natural text."""
+    for part in slices(batches, "text"):
+        data, offsets = span(part.column("text"))
+        starts, ends, rows = line_starts(data, offsets)
+        filled = ends > starts
+        starts, ends, rows = starts[filled], ends[filled], rows[filled]
+        whole = data.tobytes()
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(_line_keys(data, starts, ends)), part.column("of").take(pa.array(rows)),
+             pa.array([whole[a:b].decode("utf-8", "replace") for a, b in zip(starts.tolist(), ends.tolist())], pa.string())],
+            ["line", "of", "text"],
+        )
 
 
-def fit(reads: DataFrame, text: str = "text") -> Model:
-    """The model for a corpus; natural text is learned from all its distinct texts. Without any
-    text nothing is residue.
+def _residue_grams(model):
+    """Bucket counts of a task's texts of residue, less their furniture and natural text; without a model, of all it is given."""
 
-    Every task counts into one table of buckets; what is shuffled is line hashes and buckets, and what comes
-    to the driver is bounded by the number of buckets. Equal texts count once.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(1 << BITS, np.int64)
+        for part in slices(batches, "text"):
+            data, offsets = span(part.column("text"))
+            code = hashes(fold(data), ORDER, BITS)
+            if model is None:
+                counts += np.bincount(code, minlength=1 << BITS)
+                continue
+            (begin, size, row, kind), bad, good = model.value.weigh(data, offsets)
+            flags = (bad > 0) & (bad >= COVERAGE * (bad + good))
+            learned = flags[row] & ((kind == 1) | (kind == -1))
+            step = np.zeros(len(data) + 1, np.int8)
+            step[begin[learned]] += 1
+            np.subtract.at(step, begin[learned] + size[learned], 1)
+            counts += np.bincount(code[np.cumsum(step[:-1], dtype=np.int8) > 0], minlength=1 << BITS)
+        seen = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(counts[seen])], ["bucket", "n"])
+
+    return run
+
+
+def fit(reads: DataFrame, text: str = "text", doc: str = "doc_id", seeds: str = SEEDS) -> Model:
+    """The model for a corpus, counted over all its texts. Lines count once a paper (``doc``; without such a
+    column, a text), so attempts and deliveries of one paper don't make a wording common.
+
+    Tasks count into tables of buckets; shuffled are buckets, hashes of lines, and the few texts without
+    natural text, which are kept in the checkpoint folder. What comes to the driver and is broadcast is
+    bounded by the number of buckets. Without any text nothing is residue.
     """
-    texts = reads.select(F.col(text).alias("__text")).where(F.length("__text") > 0)
-    once = texts.groupBy(F.xxhash64("__text").alias("__of")).agg(F.min("__text").alias("__text"))
-    lines = once.select("__of", "__text").mapInArrow(_lines, "of bigint, line bigint")
-    often = lines.groupBy("line").agg(F.count("*").alias("n")).where(F.col("n") >= FURNITURE_TEXTS).select("line")
-    owned = lines.join(often, "line").groupBy(F.col("of").alias("__of")).agg(F.collect_list("line").alias("__often"))
-    counted = (
-        once.join(owned, "__of", "left").select("__text", "__often")
-        .mapInArrow(_grams, "bucket bigint, n bigint")
-        .groupBy("bucket").agg(F.sum("n").alias("n"))
-        .toArrow()
+    context = reads.sparkSession.sparkContext
+    of = F.xxhash64(F.coalesce(F.col(doc).cast("string"), F.col(text)) if doc in reads.columns else F.col(text))
+    texts = reads.select(of.alias("__of"), F.col(text).alias("__text")).where(F.length("__text") > 0)
+    natural, furniture = totals(texts.select("__text").mapInArrow(_bodies, "bucket bigint, natural bigint, furniture bigint"), BITS)
+    start = 3 * seed_counts(seeds)
+    model = Model(natural, start, furniture)
+    seen = durable(texts.mapInArrow(_bare(context.broadcast(model)), "line bigint, n bigint, of bigint, text string"))
+    bare = seen.where("text is not null").select("of", "text")
+    once = bare.mapInArrow(_bare_lines, "line bigint, of bigint, text string").groupBy("line", "of").agg(F.min("text").alias("text"))
+    lines = once.select("line", F.lit(1).alias("bare"), F.lit(0).alias("n"), "text").unionByName(
+        seen.where("text is null").select("line", F.lit(0).alias("bare"), "n", F.lit(None).cast("string").alias("text"))
     )
-    natural = np.zeros(1 << BITS)
-    natural[counted.column("bucket").to_numpy()] = counted.column("n").to_numpy()
-    return Model(natural)
+    common = lines.groupBy("line").agg(F.sum("bare").alias("bare"), F.sum("n").alias("n"), F.min("text").alias("text")).where(f"bare >= {PAPERS} and bare > {EXCESS} * n")
+    learned = 3 * totals(common.select("text").mapInArrow(_residue_grams(None), "bucket bigint, n bigint"), BITS)[0]
+    model = Model(natural, start + learned, furniture)
+    for _ in range(ROUNDS):
+        more = totals(bare.select("text").mapInArrow(_residue_grams(context.broadcast(model)), "bucket bigint, n bigint"), BITS)[0]
+        model = Model(natural, start + learned + more, furniture)
+    return model
 
 
 def flag_residue(reads: DataFrame, key: str = "read_id", text: str = "text", model: Model | None = None) -> DataFrame:
