@@ -47,14 +47,43 @@ def fold(data: np.ndarray) -> np.ndarray:
 
 
 def hashes(data: np.ndarray, order: int, bits: int) -> np.ndarray:
-    """Bucket of the n-gram that starts at each byte; the last ``order`` - 1 are padded."""
-    wide = np.concatenate([data, np.full(order - 1, 10, np.uint8)])
-    code = np.zeros(len(data), np.uint64)
-    for k in range(order):
-        code *= np.uint64(0x100000001B3)
-        code += wide[k : k + len(data)]
-    code *= np.uint64(0x9E3779B97F4A7C15)
-    return (code >> np.uint64(64 - bits)).astype(np.int32)
+    """Bucket of the n-gram of up to four bytes that starts at each byte; the last ``order`` - 1 are padded."""
+    n = len(data)
+    wide = np.full(n + 8, 10, np.uint8)
+    wide[:n] = data
+    code = np.empty(n + 4, np.uint32)
+    for k in range(4):  # every fourth place at once
+        part = wide[k : k + (n + 7 - k) // 4 * 4].view("<u4")
+        code[k::4] = part[: len(code[k::4])]
+    code = code[:n] & np.uint32((1 << 8 * order) - 1) if order < 4 else code[:n]
+    code = (code ^ (code >> np.uint32(15))) * np.uint32(0x9E3779B1)
+    code = (code ^ (code >> np.uint32(13))) * np.uint32(0x85EBCA6B)
+    return (code >> np.uint32(32 - bits)).astype(np.int32)
+
+
+_BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
+_BASE_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
+_powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base of the spans' hashes and of its inverse, from 0 to n; kept from call to call."""
+    if len(_powers[0]) <= n:
+        for k, base in enumerate((_BASE, _BASE_INVERSE)):
+            _powers[k] = np.cumprod(np.concatenate([[np.uint64(1)], np.full(n, base)]).astype(np.uint64))
+    return _powers[0][: n + 1], _powers[1][: n + 1]
+
+
+class Spans:
+    """64-bit hashes of any part of a buffer."""
+
+    def __init__(self, data: np.ndarray):
+        power, self.back = powers(len(data))
+        self.total = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power[:-1], out=self.total[1:])
+
+    def __call__(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        return (self.total[ends] - self.total[starts]) * self.back[starts]
 
 
 def line_starts(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -21,10 +21,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import durable
-from .grams import fold, hashes, line_starts, slices, span, sums, totals
+from .grams import Spans, fold, hashes, line_starts, slices, span, totals
 
 ORDER = 4
 BITS = 18
+#: Bits of each kind's weight in a sum; a window's weights stay below.
+FIELD = 21
 WINDOW_BYTES = 160
 #: Share of residue among residue and natural text from which on a text is residue.
 COVERAGE = 0.5
@@ -92,7 +94,15 @@ class Model:
         seen = (counts >= 1).any(axis=1, keepdims=True)
         table = np.log(counts / counts.sum(axis=0))
         # one n-gram alone decides nothing: its weight is bounded, and one never seen has none
-        self.table = np.where(seen, np.maximum(table - table.max(axis=1, keepdims=True), -4.0), 0.0).astype(np.float32)
+        table = np.where(seen, np.maximum(table - table.max(axis=1, keepdims=True), -4.0), 0.0)
+        # the three weights in 1/256 as parts of one integer, so that a window's are summed at once
+        steps = np.round(-256 * table).astype(np.uint64)
+        self.table = steps[:, 0] | steps[:, 1] << np.uint64(FIELD) | steps[:, 2] << np.uint64(2 * FIELD)
+
+    def weights(self, total: np.ndarray) -> np.ndarray:
+        """The log-likelihoods that are parts of sums of the table."""
+        part = np.uint64((1 << FIELD) - 1)
+        return np.stack([(total >> np.uint64(k * FIELD)) & part for k in range(3)], axis=-1).astype(np.int64) / -256
 
     def windows(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Start, size, row and kind (index of KINDS, or -1 if nothing is known) of each window of the texts."""
@@ -103,10 +113,14 @@ class Model:
         nth = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
         begin = np.repeat(starts, parts) + nth * WINDOW_BYTES
         end = np.minimum(begin + WINDOW_BYTES, np.repeat(ends, parts))
-        scores = sums(self.table[hashes(fold(data), ORDER, BITS)], begin, np.maximum(begin, end - 1))
+        plain = fold(data)
+        code = hashes(plain, ORDER, BITS)
+        total = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum(self.table[code], out=total[1:])
+        scores = self.weights(total[np.maximum(begin, end - 1)] - total[begin])
         kind = scores.argmax(axis=1)
         kind[scores.max(axis=1) - scores.min(axis=1) < 2.0] = -1
-        kind[repeated(data, begin, end)] = 1
+        kind[repeated(data, code, begin, end)] = 1
         return begin, end - begin, np.repeat(rows, parts), kind
 
     def weigh(self, data: np.ndarray, offsets: np.ndarray) -> tuple[tuple[np.ndarray, ...], np.ndarray, np.ndarray]:
@@ -122,21 +136,18 @@ class Model:
         return (bad > 0) & (bad >= COVERAGE * (bad + good))
 
 
-def repeated(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Whether each window is one short word again and again: it equals itself some bytes further on."""
+def repeated(data: np.ndarray, code: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Whether each window is one short word again and again: it equals itself some bytes further on.
+    ``code`` has the buckets of the n-grams; windows whose first comes again soon are looked at byte by byte."""
     out = np.zeros(len(begin), bool)
-    if not len(begin):
-        return out
-    low = np.where((data >= 65) & (data <= 90), data + np.uint8(32), data)
-    size = end - begin
     for period in range(3, LONGEST_PERIOD + 1):
-        same = np.concatenate([[0], np.cumsum(low[period:] == low[:-period], dtype=np.int32)]) if len(low) > period else np.zeros(1, np.int32)
-        last = np.clip(end - period, 0, len(same) - 1)
-        first = np.minimum(begin, last)
-        out |= (size >= 4 * period) & (same[last] - same[first] >= 0.95 * (size - period))
-    some = np.flatnonzero(out)
-    letters = np.concatenate([[0], np.cumsum(_LETTER[data], dtype=np.int32)])
-    out[some] = letters[end[some]] - letters[begin[some]] >= 0.5 * size[some]
+        long = np.flatnonzero(end - begin >= 4 * period)
+        again = long[code[begin[long]] == code[begin[long] + period]]
+        for i in again.tolist():
+            window = data[begin[i] : end[i]]
+            window = np.where((window >= 65) & (window <= 90), window + np.uint8(32), window)
+            if (window[period:] == window[:-period]).mean() >= 0.95 and _LETTER[window].mean() >= 0.5:
+                out[i] = True
     return out
 
 
@@ -169,12 +180,7 @@ def _line_keys(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
     keep = np.ones(len(data), bool)
     keep[1:] = ~((plain[1:] == 48) & (plain[:-1] == 48)) & ~((plain[1:] == 32) & (plain[:-1] == 32))
     place = np.concatenate([[0], np.cumsum(keep)])
-    kept = plain[keep].astype(np.uint64) + np.uint64(1)
-    base = np.uint64(0x9E3779B97F4A7C15 | 1)
-    power = np.cumprod(np.concatenate([[np.uint64(1)], np.full(len(kept), base)]).astype(np.uint64))
-    total = np.concatenate([[np.uint64(0)], np.cumsum(kept * power[:-1], dtype=np.uint64)])
-    inverse = np.cumprod(np.concatenate([[np.uint64(1)], np.full(len(kept), np.uint64(pow(int(base), -1, 1 << 64)))]).astype(np.uint64))
-    code = (total[place[ends]] - total[place[starts]]) * inverse[place[starts]]
+    code = Spans(plain[keep])(place[starts], place[ends])
     return ((code ^ (code >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)).view(np.int64)
 
 
