@@ -21,11 +21,13 @@ from pyspark.sql import functions as F
 
 from . import residue
 from .boost import Trees
-from .grams import fold, hashes, line_starts, slices, span, sums
+from .grams import fold, hashes, line_starts, slices, span, sums, totals
 
 ORDER, BITS = 4, 18
-#: Pages from which the trees are fitted, picked by hash.
+#: Pages from which the trees are fitted, about so many.
 SAMPLE_PAGES = 400
+#: A paper with more than one in so many reads is hot.
+HOT = 1000
 #: An n-gram's odds are bounded by this.
 BOUND = 3.0
 
@@ -53,16 +55,8 @@ def gram_odds(reads: DataFrame, web: Column, text: str = "text") -> np.ndarray:
         seen = np.flatnonzero(counts.any(axis=0))
         yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(counts[0, seen]), pa.array(counts[1, seen])], ["bucket", "other", "web"])
 
-    rows = (
-        reads.select(F.col(text).alias("__text"), F.coalesce(web, F.lit(False)).alias("__web"))
-        .mapInArrow(run, "bucket bigint, other bigint, web bigint")
-        .groupBy("bucket")
-        .agg(F.sum("other").alias("other"), F.sum("web").alias("web"))
-        .toArrow()
-    )
-    counts = np.zeros((2, 1 << BITS))
-    counts[:, rows.column("bucket").to_numpy()] = rows.column("other").to_numpy(), rows.column("web").to_numpy()
-    return odds_table(counts)
+    rows = reads.select(F.col(text).alias("__text"), F.coalesce(web, F.lit(False)).alias("__web"))
+    return odds_table(totals(rows.mapInArrow(run, "bucket bigint, other bigint, web bigint"), BITS))
 
 
 def odds_table(counts: np.ndarray) -> np.ndarray:
@@ -230,20 +224,31 @@ class Model:
 
 
 def pages(reads: DataFrame, papers: DataFrame) -> DataFrame:
-    """The web pages with their papers' titles; a paper that stands twice counts with its greatest title."""
-    titles = papers.groupBy("doc_id").agg(F.max("title").alias("__title"))
-    return (
-        reads.where((F.col("format") == "html") & F.col("text").isNotNull())
-        .select("read_id", "doc_id", F.col("text").alias("__text"))
-        .join(titles, "doc_id", "left")
-        .select("read_id", "__text", "__title")
-    )
-
+    """The web pages with their papers' titles; a paper that stands twice counts with its greatest title.
 
-def fit(reads: DataFrame, html: DataFrame) -> Model:
-    sample = html.orderBy(F.xxhash64("__text")).limit(SAMPLE_PAGES).toArrow().combine_chunks()
-    column = lambda c: pa.concat_arrays(sample.column(c).chunks) if sample.num_rows else pa.array([], pa.string())
-    return Model(gram_odds(reads, F.col("format") == "html"), column("__text"), column("__title"))
+    Papers that hold more than one in ``HOT`` of all reads, of which there are at most ``HOT``, send their
+    titles to the pages; only the pages of the others are shuffled.
+    """
+    titles = papers.groupBy("doc_id").agg(F.max("title").alias("__title"))
+    html = reads.where((F.col("format") == "html") & F.col("text").isNotNull()).select("read_id", "doc_id", F.col("text").alias("__text"))
+    hot = reads.where("doc_id is not null").groupBy("doc_id").count().where(F.col("count") > reads.count() / HOT).select("doc_id")
+    of_hot = html.join(F.broadcast(hot.join(titles, "doc_id", "left")), "doc_id")
+    others = html.join(F.broadcast(hot), "doc_id", "left_anti").join(titles, "doc_id", "left")
+    return of_hot.unionByName(others).select("read_id", "__text", "__title")
+
+
+def fit(reads: DataFrame, papers: DataFrame) -> Model:
+    """The n-grams' odds from all reads, and the trees from about ``SAMPLE_PAGES`` pages, picked by the hash of their
+    key, so that the sample's size doesn't depend on the number of pages or tasks; equal pages count once."""
+    html = reads.where((F.col("format") == "html"))
+    of_all = 1 << 30
+    share = of_all * SAMPLE_PAGES // max(1, html.count())
+    picked = html.where(F.expr(f"pmod(xxhash64(read_id), {of_all}) < {min(of_all, share)}"))
+    titles = papers.groupBy("doc_id").agg(F.max("title").alias("__title"))
+    sample = picked.where("text is not null").select("doc_id", F.col("text").alias("__text")).join(titles, "doc_id", "left").toArrow()
+    once = sorted(dict(zip(sample.column("__text").to_pylist(), sample.column("__title").to_pylist())).items(), key=lambda x: x[0])
+    texts, names = (pa.array([x[k] for x in once], pa.string()) for k in (0, 1))
+    return Model(gram_odds(reads, F.col("format") == "html"), texts, names)
 
 
 def _run(model, of_residue, whole: bool):
@@ -268,10 +273,9 @@ def _run(model, of_residue, whole: bool):
 
 def _apply(reads: DataFrame, papers: DataFrame, whole: bool, schema: str) -> DataFrame:
     context = reads.sparkSession.sparkContext
-    html = pages(reads, papers)
-    model = context.broadcast(fit(reads, html))
+    model = context.broadcast(fit(reads, papers))
     of_residue = context.broadcast(residue.fit(reads))
-    return html.mapInArrow(_run(model, of_residue, whole), schema)
+    return pages(reads, papers).mapInArrow(_run(model, of_residue, whole), schema)
 
 
 def furniture_lines(reads: DataFrame, papers: DataFrame) -> DataFrame:
