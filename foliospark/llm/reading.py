@@ -1,9 +1,9 @@
 """Reading level of each document's prose, by a familiar-word formula.
 
 The level is a function of two numbers: the share of words outside a list of familiar words, and the
-average sentence length. The list is the head of the corpus's words by document frequency, counted over
-the prose of all documents. The weights of both numbers, and the length of the list, are fitted on
-passages of known level; the length is chosen by leaving passages out. A post may mix prose of several
+average sentence length. The list has the words that a share of the corpus's English documents use, counted
+over the prose of all documents. The weights of both numbers, and the share, are fitted on
+passages of known level; the share is chosen by leaving passages out. A post may mix prose of several
 levels, so the fitted formula is applied to each of its sentences; the post's level is the highest that
 enough of its words reach.
 """
@@ -20,13 +20,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .grams import slices
+from .language import language
 
-#: Words kept with their document frequencies, the most frequent first; bounds the model.
-MAX_WORDS = 50_000
-#: Lengths of the list of familiar words that are tried.
-SIZES = (100, 150, 200, 300, 500, 1000, 2000, 3000)
-#: The list is at most this part of the corpus's words, else in a small corpus every word would be familiar.
-PART = 6
+#: Words in at least one in so many documents are kept with their document frequencies. A word is familiar from one
+#: of these shares of the English documents on; both are shares, so they mean the same in a corpus of any size.
+LEAST_SHARE = 20_000
+SHARES = (0.1, 0.07, 0.05, 0.03, 0.02, 0.015, 0.01, 0.007, 0.005, 0.003, 0.002, 0.001)
 #: Passages of known level that are used at most.
 MAX_PASSAGES = 5_000
 MIN_WORDS = 40
@@ -44,13 +43,21 @@ _BLOCKS = re.compile(
 _INLINE = re.compile(r"`[^`\n]+`|<a\b[^>]*>.*?</a>|\[[^\]\n]{0,80}\]\([^)\n]*\)|</?[a-zA-Z][^>\n]*>")
 _URL = re.compile(r"\b(?:https?|ftp)://\S+|\bwww\.\S+")
 _LOG = re.compile(r"^\s*(?:\[?\d{4}-\d\d-\d\d[ T]|\d\d:\d\d:\d\d\b|(?:INFO|WARN|ERROR|DEBUG|TRACE|FATAL)\b)")
-_CODE = re.compile(
-    r"^(?:    |\t)|^\s*(?:[$>#%]\s|//|/\*|@\w+|import \w|from \w+ import|def \w+\(|class \w+[:({]|SELECT\b.*\bFROM\b|#include|\}|\{)|[;{}]\s*$|::|=>|->|\(\)|\w\(\w*[,)]|\w\[\w+\]|[+\-*/]?=\s*\S|\w_\w+|\b[a-z]+[A-Z]\w*"
+_STARTS_CODE = re.compile(
+    r"    |\t|\s*(?:[$>#%]\s|//|/\*|@\w+|import \w|from \w+ import|def \w+\(|class \w+[:({]|SELECT\b.*\bFROM\b|#include|\}|\{)"
 )
+_MARKS_CODE = re.compile(r"[;{}]\s*$|::|=>|->|\(\)|\((?<=\w\()\w*[,)]|\[(?<=\w\[)\w+\]|[+\-*/]?=\s*\S|_(?<=\w_)\w+")
+_CAMEL, _CAMEL_INSIDE = re.compile(r"\b[a-z]+[A-Z]\w*"), re.compile(r"[a-z][A-Z]")
 _SENTENCE = re.compile(r"[.!?。！？]+[\"'”’)\]]*(?=\s|$)|\n+")
 _DUMP = re.compile(r"\S{30,}")
 
 
+def _code_marks(line: str) -> int:
+    """How many signs of code a line has."""
+    count = len(_MARKS_CODE.findall(line)) + (_STARTS_CODE.match(line) is not None)
+    return count + len(_CAMEL.findall(line)) if _CAMEL_INSIDE.search(line) else count
+
+
 def prose(text: str | None) -> str:
     """The prose of a post: without code, logs, dumps, markup and links. Null gives an empty text."""
     if not text:
@@ -68,10 +75,10 @@ def prose(text: str | None) -> str:
             plain = _URL.sub(" ", plain)
             if len(_WORD.findall(plain)) <= 6:  # a link with a word or two about it
                 continue
-        if len(plain) > 30:
+        if len(plain) > 30 and max(map(len, plain.split()), default=0) >= 30:
             plain = _DUMP.sub(" ", plain)
-        code = _CODE.search(plain)
-        if code and (len(plain) < 120 or len(_CODE.findall(plain)) * 60 > len(plain)):
+        marks = _code_marks(plain)
+        if marks and (len(plain) < 120 or marks * 60 > len(plain)):
             continue
         kept.append(plain)
     return "\n".join(kept)
@@ -132,17 +139,17 @@ class Formula:
 class Model:
     """Familiar words, the weight of words for English, and the formula."""
 
-    def __init__(self, words: list[tuple[str, int, int]], passages: list[tuple[int, str]]):
-        order = sorted((w for w in words if w[1]), key=lambda w: (-w[1], w[0]))
-        rank = {w: i for i, (w, _, _) in enumerate(order)}
+    def __init__(self, words: list[tuple[str, int, int]], documents: int, passages: list[tuple[int, str]]):
+        """``words`` with their numbers of English and of other documents, of ``documents`` English ones in all."""
+        share = {w: a / max(1, documents) for w, a, _ in words if a}
         english, other = (sum(w[j] for w in words) + 0.5 * len(words) for j in (1, 2))
         self.english = {w: float(np.clip(np.log((a + 0.5) / english) - np.log((b + 0.5) / other), -4, 4)) for w, a, b in words}
         measured = [measure(prose(t)) for _, t in passages]
         levels = np.array([level for level, _ in passages])
-        self.size, self.formula = SIZES[0], Formula(np.zeros((0, 2)), np.zeros(0, int)) if not len(levels) else None
+        self.share, self.formula = SHARES[0], Formula(np.zeros((0, 2)), np.zeros(0, int)) if not len(levels) else None
         best = None
-        for size in [s for s in SIZES if s == SIZES[0] or s * PART <= len(order)] if len(levels) else ():
-            x = np.array([[sum(rank.get(w, size) >= size for w in words_) / max(1, len(words_)), mean] for words_, mean in measured])
+        for least in SHARES if len(levels) else ():
+            x = np.array([[sum(share.get(w, 0.0) < least for w in words_) / max(1, len(words_)), mean] for words_, mean in measured])
             wrong = 0.0
             for fold in range(5):
                 held = np.arange(len(levels)) % 5 == fold
@@ -150,8 +157,8 @@ class Model:
                     continue
                 wrong += np.abs(Formula(x[~held], levels[~held]).score(x[held]) - levels[held]).sum()
             if best is None or wrong < best[0] - 1e-9:
-                best, self.size, self.formula = (wrong,), size, Formula(x, levels)
-        self.familiar = {w for w, i in rank.items() if i < self.size}
+                best, self.share, self.formula = (wrong,), least, Formula(x, levels)
+        self.familiar = {w for w, s in share.items() if s >= self.share}
 
     def judge(self, texts: list[str | None]) -> tuple[np.ndarray, ...]:
         """Words, sentence length, share of unfamiliar words, mean level, whole level, and whether the text is English."""
@@ -180,33 +187,41 @@ class Model:
         return count.astype(np.int32), np.where(count > 0, sentence, 0.0), total(np.array(strange, float)) / some, np.where(count > 0, mean, np.nan), whole, odds > 0
 
 
-def document_frequencies(docs: DataFrame, text: str = "text", lang: str = "lang") -> list[tuple[str, int, int]]:
-    """The words of all documents' prose with how many documents of either language use them: those
-    labelled English, and those labelled otherwise. Labels may be wrong; unlabelled ones count nowhere."""
+def document_frequencies(docs: DataFrame, text: str = "text", lang: str = "lang") -> tuple[list[tuple[str, int, int]], int]:
+    """The words of all documents' prose with how many documents of either language use them, English ones
+    and others, and the number of English documents. A label, though it may be wrong, says which a document is;
+    without one its function words do. Words in less than one in ``LEAST_SHARE`` documents are left out, which
+    bounds what comes to the driver by the words of that many documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: tuple[Counter[str], Counter[str]] = (Counter(), Counter())
         for part in slices(batches, "__text"):
             for x, name in zip(part.column("__text").to_pylist(), part.column("__lang").to_pylist()):
-                counts[name.lower() != "en"].update({w.lower() for w in _WORD.findall(prose(x)) if len(w) <= 40})
+                plain = prose(x)
+                if plain:
+                    own = counts[(name.lower() if name else language(plain)) != "en"]
+                    own.update({w.lower() for w in _WORD.findall(plain)})
+                    own[""] += 1
         words = [*counts[0].keys() | counts[1].keys()]
         yield pa.RecordBatch.from_arrays(
             [pa.array(words, pa.string()), pa.array([counts[0][w] for w in words], pa.int64()), pa.array([counts[1][w] for w in words], pa.int64())],
             ["word", "english", "other"],
         )
 
+    filled = docs.where(F.length(text) > 0)
     rows = (
-        docs.select(F.col(text).alias("__text"), F.col(lang).alias("__lang")).where("__text is not null and __lang is not null")
+        filled.select(F.col(text).alias("__text"), F.col(lang).alias("__lang"))
         .mapInArrow(run, "word string, english bigint, other bigint")
         .groupBy("word").agg(F.sum("english").alias("english"), F.sum("other").alias("other"))
-        .orderBy(F.desc(F.col("english") + F.col("other")), "word").limit(MAX_WORDS).collect()
+        .where((F.col("english") + F.col("other") >= filled.count() / LEAST_SHARE) | (F.col("word") == "")).toArrow()
     )
-    return [(r[0], r[1], r[2]) for r in rows]
+    words = sorted(zip(*(rows.column(c).to_pylist() for c in ("word", "english", "other"))))
+    return [w for w in words if w[0]], sum(a for w, a, _ in words if not w)
 
 
 def fit(docs: DataFrame, passages: DataFrame) -> Model:
     known = passages.where("text is not null and level is not null").orderBy("ref_id").limit(MAX_PASSAGES).collect()
-    return Model(document_frequencies(docs), [(r["level"], r["text"]) for r in known])
+    return Model(*document_frequencies(docs), [(r["level"], r["text"]) for r in known])
 
 
 def reading_levels(docs: DataFrame, passages: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
