@@ -1,9 +1,11 @@
 """Filling containers of a fixed number of tokens with documents, by lexical retrieval.
 
 A document larger than a container is cut into full containers and a rest; every rest and every
-smaller document is an item that is never split. Items are spread over shards of about ``shard_items``
-rows by a salted hash, so copies and hot sources spread evenly and each shard is a task of bounded
-size. Each shard holds a BM25 inverted index of its items: the largest unused item seeds a container,
+smaller document is an item that is never split. Items are encoded once and spread over shards of at
+most about ``shard_items`` rows by their words: centroids of weighted tokens, fitted on a bounded sample,
+give each item its cluster; clusters that are alike share a shard, and one that is too large for a shard is
+split by a salted hash, so copies and hot sources spread evenly and each shard is a task of bounded size.
+Each shard holds a BM25 inverted index of its items: the largest unused item seeds a container,
 its best-scored unused neighbours that still fit follow, and what room is left is filled with the
 largest unused items that fit, whatever their words.
 """
@@ -17,17 +19,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import durable
 from .encode import encode_corpus
 
 CAPACITY = 2048
 SHARD_ITEMS = 4096
-QUERY_TERMS = 12
+#: Items from which the clusters are fitted, about so many; clusters at most, and for each shard; rounds of fitting.
+SAMPLE_ITEMS, MOST_CLUSTERS, CLUSTERS_PER_SHARD, ROUNDS = 16_384, 1024, 4, 8
+#: Numbers that a document's tokens are hashed to for clustering.
+WIDTH = 1024
 #: Usual constants of BM25.
 K1, B = 1.2, 0.75
 
 
-def _items(capacity: int, shards: int):
-    """Pieces of each document; only those with a ``shard`` still need a container."""
+def _items(capacity: int):
+    """Pieces of each document; full ones are a container by themselves."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         row = 0
@@ -83,25 +89,15 @@ class Index:
         order = np.argsort(self.term, kind="stable")
         self.posting_item, self.posting_weight = self.item[order], weight[order]
         self.posting_begin = np.concatenate([[0], np.cumsum(df)])
-        self.scores = np.zeros(len(sizes))
 
     def neighbours(self, seed: int) -> tuple[np.ndarray, np.ndarray]:
-        """Items that share the seed's weightiest terms, with their scores."""
-        a, b = self.begin[seed], self.begin[seed + 1]
-        own = np.arange(a, b)[self.df[self.term[a:b]] > 1]
-        if len(own) > QUERY_TERMS:
-            own = own[np.argpartition(-self.weight[own], QUERY_TERMS)[:QUERY_TERMS]]
-        found = []
-        for t in self.term[own]:
-            p = slice(self.posting_begin[t], self.posting_begin[t + 1])
-            self.scores[self.posting_item[p]] += self.posting_weight[p]
-            found.append(self.posting_item[p])
-        if not found:
-            return np.empty(0, np.int64), np.empty(0)
-        items = np.unique(np.concatenate(found))
-        scores = self.scores[items].copy()
-        self.scores[items] = 0
-        return items, scores
+        """Items that share any of the seed's terms, with their scores."""
+        own = self.term[self.begin[seed] : self.begin[seed + 1]]
+        count = self.df[own]
+        at = np.repeat(self.posting_begin[own] - (np.cumsum(count) - count), count) + np.arange(count.sum())
+        scores = np.bincount(self.posting_item[at], self.posting_weight[at], minlength=len(self.begin) - 1)
+        items = np.flatnonzero(scores)
+        return items, scores[items]
 
 
 def fill(sizes: np.ndarray, terms: np.ndarray, offsets: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
@@ -159,6 +155,107 @@ def fill(sizes: np.ndarray, terms: np.ndarray, offsets: np.ndarray, capacity: in
     return container, place
 
 
+class Clusters:
+    """Centroids of items' tokens, weighted by how rare the tokens are in the sample."""
+
+    def __init__(self, items: list[np.ndarray], count: int):
+        df = np.zeros(1 << 20)
+        for x in items:
+            df[np.unique(x) % len(df)] += 1
+        self.idf = np.log1p(len(items) / (1 + df)).astype(np.float32)
+        self.idf[df > 0.2 * len(items)] = 0  # tokens of every subject
+        offsets = np.concatenate([[0], np.cumsum([len(x) for x in items])])
+        rows = self.vectors(np.concatenate([*items, np.zeros(0, np.int64)]).astype(np.int64), offsets)
+        centres = rows[np.linspace(0, len(rows) - 1, count).astype(int)]
+        for _ in range(ROUNDS):
+            own = (rows @ centres.T).argmax(axis=1)
+            order = np.argsort(own, kind="stable")
+            found, start = np.unique(own[order], return_index=True)
+            sums = np.add.reduceat(rows[order], start, axis=0)
+            centres = centres.copy()
+            centres[found] = sums / np.maximum(np.linalg.norm(sums, axis=1, keepdims=True), 1e-9)
+        self.centres = centres
+
+    def vectors(self, terms: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """A row of unit length for each item; tokens count by the root of their number."""
+        n = len(offsets) - 1
+        owner = np.repeat(np.arange(n), np.diff(offsets))
+        pairs, times = np.unique(owner << 32 | terms, return_counts=True)
+        owner, term = pairs >> 32, pairs & 0xFFFFFFFF
+        code = term * 0x9E3779B1 & 0xFFFFFFFF
+        value = np.sqrt(times) * self.idf[term % len(self.idf)] * np.where(code & 1, 1, -1)
+        rows = np.bincount(owner * WIDTH + (code >> 8) % WIDTH, value, minlength=n * WIDTH).reshape(n, WIDTH).astype(np.float32)
+        return rows / np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-9)
+
+    def __call__(self, terms: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        return (self.vectors(terms, offsets) @ self.centres.T).argmax(axis=1).astype(np.int32)
+
+    def shards(self, counts: np.ndarray, shard_items: int) -> list[tuple[int, int]]:
+        """The first shard of each cluster and how many it is split over. Clusters follow one another by
+        likeness, the next is the one most like the last, and share a shard while there is room."""
+        left = set(np.flatnonzero(counts).tolist())
+        out = [(0, 1)] * len(counts)
+        shard, used, last = 0, 0, None
+        while left:
+            names = np.array(sorted(left))
+            k = int(names[0] if last is None else names[(self.centres[names] @ self.centres[last]).argmax()])
+            left.remove(k)
+            last, n = k, int(counts[k])
+            if used and used + n > shard_items:
+                shard, used = shard + 1, 0
+            parts = max(1, -(-n // shard_items))
+            out[k] = (shard, parts)
+            if parts > 1:
+                shard, used = shard + parts, 0
+            else:
+                used += n
+        return out
+
+
+def _assign(clusters):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, SLICE_ROWS):
+                part = batch.slice(start, SLICE_ROWS)
+                lists = part.column("terms")
+                offsets = lists.offsets.to_numpy().astype(np.int64)
+                own = clusters.value(lists.flatten().to_numpy().astype(np.int64), offsets - offsets[0])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(own)], [*part.schema.names, "cluster"])
+
+    return run
+
+
+#: Rows whose vectors are made at once.
+SLICE_ROWS = 1024
+
+
+def shard_items_by_words(items: DataFrame, shard_items: int = SHARD_ITEMS) -> DataFrame:
+    """The items with their ``shard``, by clusters fitted on about ``SAMPLE_ITEMS`` of them. What the driver gets is the
+    sample and a count for each cluster."""
+    total = items.count()
+    shards = -(-total // shard_items)
+    if shards <= 1:
+        return items.withColumn("shard", F.lit(0))
+    of_all = 1 << 30
+    share = min(of_all, of_all * SAMPLE_ITEMS // total)
+    sample = items.where(F.expr(f"pmod(xxhash64(__key, piece, salt), {of_all}) < {share}")).select("terms").toArrow()
+    lists = sorted(sample.column("terms").to_pylist())
+    count = min(MOST_CLUSTERS, CLUSTERS_PER_SHARD * shards, max(1, len(lists)))
+    if not lists:
+        return items.withColumn("shard", F.expr(f"int(pmod(xxhash64(__key, piece, salt), {shards}))"))
+    clusters = Clusters([np.array(x, np.int64) for x in lists], count)
+    shared = items.sparkSession.sparkContext.broadcast(clusters)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in items.schema.fields)
+    own = items.mapInArrow(_assign(shared), f"{schema}, cluster int")
+    counts = np.zeros(count, np.int64)
+    for row in own.groupBy("cluster").count().collect():
+        counts[row["cluster"]] = row["count"]
+    places = clusters.shards(counts, shard_items)
+    firsts, parts = (F.array(*(F.lit(p[k]) for p in places)) for k in (0, 1))
+    salt = F.expr("xxhash64(__key, piece, salt)")
+    return own.withColumn("shard", (firsts[F.col("cluster")] + F.pmod(salt, parts[F.col("cluster")])).cast("int")).drop("cluster")
+
+
 def _pack(capacity: int, fields: list[str]):
     def run(key: tuple[pa.Scalar, ...], shard: pa.Table) -> pa.Table:
         shard = shard.combine_chunks().sort_by([("n_tokens", "descending"), ("__key", "ascending"), ("piece", "ascending"), ("salt", "ascending")])
@@ -200,23 +297,23 @@ def pack(
 
     Every row of ``docs`` is placed, one row a piece: a document of at most ``capacity`` tokens has
     piece 0 only, a larger one has pieces of ``capacity`` tokens and a rest. Null and empty texts have
-    size 0 and take a place without room. No container holds more than ``capacity`` tokens; places of a
+    size 0 and take a place without room. The items are encoded once and kept in the checkpoint folder, so the
+    work that follows sees the same rows in the same shards whatever executors are lost. No container holds more than ``capacity`` tokens; places of a
     container count from 0 without gaps. Ties in size go by key and piece. Repeated rows are placed each
     time. An empty table gives no rows; other columns are ignored.
     """
     kind = docs.schema[key].dataType.simpleString()
     encoded = encode_corpus(docs.select(F.col(key).alias("__key"), F.col(text).alias("text")), "__key", "text", "ids", path)
-    shards = max(1, -(-docs.select(key).count() // shard_items))
-    items = encoded.mapInArrow(
-        _items(capacity, shards),
+    items = durable(encoded.mapInArrow(
+        _items(capacity),
         f"__key {kind}, piece int, start_token int, n_tokens int, full boolean, salt bigint, terms array<int>",
-    ).withColumn("shard", F.expr(f"pmod(xxhash64(__key, piece, salt), {shards})"))
+    ).withColumn("salt", F.expr("shiftleft(bigint(spark_partition_id()), 40) + salt")))
     fields = ["__key", "piece", "start_token", "n_tokens", "container", "place", "offset"]
     whole = items.where("full").selectExpr(
         "__key", "piece", "start_token", "n_tokens",
-        "concat('full-', coalesce(cast(__key as string), ''), '-', spark_partition_id(), '-', salt, '-', piece) as container", "0 as place", "0 as offset",
+        "concat('full-', coalesce(cast(__key as string), ''), '-', salt, '-', piece) as container", "0 as place", "0 as offset",
     )
-    packed = items.where("not full").groupBy("shard").applyInArrow(
+    packed = shard_items_by_words(items.where("not full"), shard_items).groupBy("shard").applyInArrow(
         _pack(capacity, fields),
         f"__key {kind}, piece int, start_token int, n_tokens int, container string, place int, offset int",
     )
