@@ -23,9 +23,9 @@ from ..session import durable
 from .encode import encode_corpus
 
 CAPACITY = 2048
-SHARD_ITEMS = 4096
+SHARD_ITEMS = 16_384
 #: Items from which the clusters are fitted, about so many; clusters at most, and for each shard; rounds of fitting.
-SAMPLE_ITEMS, MOST_CLUSTERS, CLUSTERS_PER_SHARD, ROUNDS = 16_384, 1024, 4, 8
+SAMPLE_ITEMS, MOST_CLUSTERS, CLUSTERS_PER_SHARD, ROUNDS = 16_384, 1024, 8, 8
 #: Numbers that a document's tokens are hashed to for clustering.
 WIDTH = 1024
 #: Usual constants of BM25.
