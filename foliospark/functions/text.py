@@ -38,6 +38,19 @@ RELATIONSHIPS = (
     ("extends", r"\b(?:extend|extends|build(?:s)? on|adapt(?:s)?|improve(?:s)? on)\b"),
     ("supports", r"\b(?:support(?:s)?|confirm(?:s)?|consistent with|agree(?:s)? with)\b"),
 )
+#: Where a text's lines end, and white space of any kind, as a class.
+LINE_BREAK = r"\r\n|[\n\x0B\f\r\x1C-\x1E\x{85}\x{2028}\x{2029}]"
+BLANKS = r"[\s\x1C-\x1F\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+SUBJECT = r"(?i)\b(?:on|using|across|with)\s+(?:the\s+)?([^.;,:]+)"
+SUBJECT_STOP = r"(?i)\s+(?:to|for|that|which|and|compared|versus|against)\s+.*$"
+AFTER_CUE = r"\w*\b\s+(?:(?:a|an|the|our|this|their)\b)?\s*([^.;,:]+)"
+PHRASE_STOP = r"(?i)\s+(?:to|for|on|across|from|that|which|while|using|with|and|compared|versus|against|relative)\s+.*$"
+COMPARISON_WORD = r"([a-z][a-z0-9-]{3,})"
+SEARCH_WORD = r"[a-z0-9][a-z0-9-]{2,}"
+HREF = r"href=[\"'](https?://[^\"']+)[\"']"
+ARTICLE = r"(?i)^(?:the|a|an)\s+"
+YEAR = r"\b(?:19|20)\d{2}\b"
+EVALUATION_CUES = ("evaluate", "experiment", "benchmark", "test", "measure")
 METRIC_WORD = r"(?i)\b(?:accuracy|precision|recall|F1(?:-score)?|AUC|BLEU|ROUGE|score|error|loss|latency|runtime|reduction|improvement)\b"
 METRIC_NUMBER = r"[+-]?\d+(?:\.\d+)?\s*(?:%|percent|percentage points)?"
 
@@ -51,7 +64,12 @@ def fold(c: Column) -> Column:
 
 def squeeze(c: Column) -> Column:
     """Each run of white space as one blank, none at the ends."""
-    return F.trim(F.regexp_replace(c, r"\s+", " "))
+    return F.trim(F.regexp_replace(c, BLANKS + "+", " "))
+
+
+def lines(text: Column) -> Column:
+    """The lines of a text, whatever ends them."""
+    return F.split(text, LINE_BREAK)
 
 
 def compact(c: Column, limit: int = 280) -> Column:
@@ -81,17 +99,17 @@ def sentences(line: Column) -> Column:
 
 def title(text: Column, default: str = "Imported research paper") -> Column:
     """The first line of 4 to 140 characters, without blanks and marks around it."""
-    lines = F.transform(F.split(text, r"\n"), lambda x: F.regexp_replace(x, r"^[ #\t]+|[ #\t]+$", ""))
-    return F.coalesce(F.try_element_at(F.filter(lines, lambda x: F.length(x).between(4, 140)), F.lit(1)), F.lit(default))
+    found = F.transform(lines(text), lambda x: F.regexp_replace(x, r"^[ #\t]+|[ #\t]+$", ""))
+    return F.coalesce(F.try_element_at(F.filter(found, lambda x: F.length(x).between(4, 140)), F.lit(1)), F.lit(default))
 
 
 def year(text: Column) -> Column:
-    return F.nullif(F.regexp_extract(text, r"\b(?:19|20)\d{2}\b", 0), F.lit("")).cast("int")
+    return F.nullif(F.regexp_extract(text, YEAR, 0), F.lit("")).cast("int")
 
 
 def comparison_terms(text: Column) -> Column:
     """Distinct words of four and more characters, without common ones."""
-    words = F.regexp_extract_all(fold(text), F.lit(r"([a-z][a-z0-9-]{3,})"), F.lit(1))
+    words = F.regexp_extract_all(fold(text), F.lit(COMPARISON_WORD), F.lit(1))
     return F.array_except(F.array_distinct(words), F.array(*map(F.lit, COMPARISON_STOPWORDS)))
 
 
@@ -139,7 +157,7 @@ def is_authority(url: Column) -> Column:
 def clean_term(term: Column) -> Column:
     """A term without punctuation around it and without a leading article."""
     bare = F.regexp_replace(F.regexp_replace(term, r"\s+", " "), r"^[ \t\r\n,.;:()\[\]{}]+|[ \t\r\n,.;:()\[\]{}]+$", "")
-    return F.regexp_replace(bare, r"(?i)^(?:the|a|an)\s+", "")
+    return F.regexp_replace(bare, ARTICLE, "")
 
 
 def around(text: Column, start: Column, end: Column, before: int = 180, after: int = 220) -> Column:
@@ -151,9 +169,8 @@ def around(text: Column, start: Column, end: Column, before: int = 180, after: i
 def phrase_after(sentence: Column, cues: tuple[str, ...], limit: int = 64) -> Column:
     """What follows the first cue (a word's beginning) and an article, up to punctuation or a preposition;
     null below four characters. The article needs a word boundary."""
-    match = rf"(?i)\b(?:{'|'.join(cues)})\w*\b\s+(?:(?:a|an|the|our|this|their)\b)?\s*([^.;,:]+)"
-    stop = r"(?i)\s+(?:to|for|on|across|from|that|which|while|using|with|and|compared|versus|against|relative)\s+.*$"
-    phrase = F.regexp_replace(compact(F.regexp_replace(F.regexp_extract(sentence, match, 1), stop, ""), limit), r"^[ .,]+|[ .,]+$", "")
+    match = rf"(?i)\b(?:{'|'.join(cues)}){AFTER_CUE}"
+    phrase = F.regexp_replace(compact(F.regexp_replace(F.regexp_extract(sentence, match, 1), PHRASE_STOP, ""), limit), r"^[ .,]+|[ .,]+$", "")
     return F.when(F.length(phrase) >= 4, phrase)
 
 
@@ -178,10 +195,10 @@ def metric_label(sentence: Column) -> Column:
 
 def experiment_label(sentence: Column) -> Column:
     """What a test was made on or with, else as ``label``."""
-    subject = F.regexp_extract(sentence, r"(?i)\b(?:on|using|across|with)\s+(?:the\s+)?([^.;,:]+)", 1)
-    subject = F.regexp_replace(subject, r"(?i)\s+(?:to|for|that|which|and|compared|versus|against)\s+.*$", "")
+    subject = F.regexp_extract(sentence, SUBJECT, 1)
+    subject = F.regexp_replace(subject, SUBJECT_STOP, "")
     subject = F.regexp_replace(compact(subject, 58), r"^[ .,]+|[ .,]+$", "")
-    other = label(sentence, ("evaluate", "experiment", "benchmark", "test", "measure"), "Evaluation described in the paper")
+    other = label(sentence, EVALUATION_CUES, "Evaluation described in the paper")
     return F.when(F.length(subject) >= 4, capitalised(subject)).otherwise(other)
 
 
@@ -189,8 +206,8 @@ def location(text: Column, excerpt: Column, section: Column) -> Column:
     """"Results section, line 4": the first line that holds the excerpt's first eight or four words."""
     words = F.split(fold(squeeze(excerpt)), " ")
     eight, four = F.array_join(F.slice(words, 1, 8), " "), F.array_join(F.slice(words, 1, 4), " ")
-    lines = F.transform(F.split(text, r"\n"), lambda x: F.contains(fold(squeeze(x)), eight) | F.contains(fold(squeeze(x)), four))
-    line = F.nullif(F.array_position(lines, True), F.lit(0))
+    found = F.transform(lines(text), lambda x: F.contains(fold(squeeze(x)), eight) | F.contains(fold(squeeze(x)), four))
+    line = F.nullif(F.array_position(found, True), F.lit(0))
     where = F.coalesce(F.concat(F.lit(", line "), line.cast("string")), F.lit(", filtered paper text"))
     return F.concat(F.initcap(section), F.lit(" section"), where)
 
@@ -204,7 +221,7 @@ def offset_location(text: Column, offset: Column) -> Column:
 def search(text: Column, query: str, before: int = 120, after: int = 240, most: int = 3) -> Column:
     """Up to three distinct excerpts: at the whole phrase, then at each of its words. A blank query finds nothing."""
     phrase = (query or "").strip().lower()
-    terms = [phrase, *re.findall(r"[a-z0-9][a-z0-9-]{2,}", phrase)] if phrase else []
+    terms = [phrase, *re.findall(SEARCH_WORD, phrase)] if phrase else []
     if not terms:
         return F.array().cast("array<string>")
     low = F.lower(text)
@@ -218,7 +235,15 @@ def search(text: Column, query: str, before: int = 120, after: int = 240, most:
     return F.slice(F.array_distinct(found), 1, most)
 
 
+#: The entities that addresses in markup are written with.
+ENTITIES = (("&quot;", '"'), ("&#34;", '"'), ("&#39;", "'"), ("&#x27;", "'"), ("&apos;", "'"), ("&lt;", "<"), ("&gt;", ">"), ("&#x2F;", "/"), ("&#47;", "/"), ("&#38;", "&"), ("&#x26;", "&"), ("&amp;", "&"))
+
+
 def hrefs(html: Column, most: int = 3) -> Column:
     """The first distinct links to authorities."""
-    links = F.transform(F.regexp_extract_all(html, F.lit(r"href=[\"']([^\"']+)[\"']"), F.lit(1)), lambda x: F.replace(x, F.lit("&amp;"), F.lit("&")))
+
+    def plain(x: Column) -> Column:
+        return reduce(lambda y, e: F.replace(y, F.lit(e[0]), F.lit(e[1])), ENTITIES, x)
+
+    links = F.transform(F.regexp_extract_all(html, F.lit(HREF), F.lit(1)), plain)
     return F.slice(F.array_distinct(F.filter(links, is_authority)), 1, most)

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,7 +21,7 @@ def body_lines(pages: DataFrame, doc: str = "doc_id", page: str = "page_no", tex
     has no lines. Positions come from windows within a page, repeats from one aggregate by document and key.
     """
     lines = (
-        pages.select(F.col(doc).alias("doc"), F.col(page).alias("page"), F.posexplode(F.split(F.replace(F.col(text), F.lit("\0"), F.lit(" ")), r"\n")).alias("raw", "line"))
+        pages.select(F.col(doc).alias("doc"), F.col(page).alias("page"), F.posexplode(T.lines(F.replace(F.col(text), F.lit("\0"), F.lit(" ")))).alias("raw", "line"))
         .withColumn("line", T.squeeze(F.col("line")))
         .where(F.length("line") > 0)
     )
@@ -55,69 +59,115 @@ def body_text(pages: DataFrame, doc: str = "doc_id", page: str = "page_no", text
     return parts.groupBy(doc).agg(F.trim(F.regexp_replace(whole, r"\n+$", "")).alias("text"))
 
 
+# What parts paragraphs, what joins a broken word, what becomes a blank.
+PARAGRAPH_BREAK = re.compile(r"\n[ \t]*\n+")
+BROKEN_WORD = re.compile(r"(?<=\w)-[ \t]*\n[ \t]*(?=\w)")
+WRAP = re.compile(r"[ \t\n]+")
+
+
+def paragraph_spans(text: str) -> Iterator[tuple[str, int, int]]:
+    """Text, start and end of each paragraph of a text, in the text with its line breaks made alike."""
+    source = text.replace("\r\n", "\n").replace("\r", "\n")
+    start = 0
+    for gap in [*PARAGRAPH_BREAK.finditer(source), None]:
+        end = gap.start() if gap else len(source)
+        clean = WRAP.sub(" ", BROKEN_WORD.sub("", source[start:end])).strip()
+        if clean:
+            yield clean, start, end
+        start = gap.end() if gap else end
+
+
+def chunk_spans(text: str, limit: int, overlap: int) -> Iterator[tuple[str, int, int]]:
+    """Text, start and end of each chunk of a text."""
+    start, size, overlap = 0, len(text), min(overlap, limit // 3)
+    while start < size:
+        end = min(start + limit, size)
+        if end < size and size > limit:
+            low = start + limit // 2
+            cut = max(text.rfind("\n\n", low, end), text.rfind(". ", low, end))
+            if cut > start:
+                end = cut + (2 if text.startswith(". ", cut) else 0)
+        whole = text if size <= limit else text[start:end].strip()
+        if whole.strip():
+            yield whole, start, end
+        if end >= size:
+            return
+        start = max(end - overlap, start + 1)
+
+
+def _spans(docs: DataFrame, doc: str, text: str, cut: Callable[[str], Iterator[tuple[str, int, int]]]) -> DataFrame:
+    """doc, index, text, start_char, end_char of the spans of each text, in Arrow batches where the texts lie: a text
+    is walked once, whatever its length, and nothing is shuffled."""
+    kind = docs.schema[doc].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for begin in range(0, batch.num_rows, SLICE_ROWS):
+                part = batch.slice(begin, SLICE_ROWS)
+                rows, nth, found = [], [], ([], [], [])
+                for i, value in enumerate(part.column("__text").to_pylist()):
+                    for k, span in enumerate(cut(value)):
+                        rows.append(i)
+                        nth.append(k)
+                        for column, x in zip(found, span):
+                            column.append(x)
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("__doc").take(pa.array(rows, pa.int32())), pa.array(nth, pa.int32()), pa.array(found[0], pa.string()),
+                     pa.array(found[1], pa.int32()), pa.array(found[2], pa.int32())],
+                    ["__doc", "index", "text", "start_char", "end_char"],
+                )
+
+    rows = docs.select(F.col(doc).alias("__doc"), F.col(text).alias("__text")).where(F.col("__text").isNotNull())
+    return rows.mapInArrow(run, f"__doc {kind}, index int, text string, start_char int, end_char int").withColumnRenamed("__doc", doc)
+
+
+#: Texts whose spans are made into one batch.
+SLICE_ROWS = 256
+
+
 def paragraphs(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
     """doc, id, index, text, start_char, end_char: the parts between blank lines, squeezed, words broken at
-    a line's end joined. Offsets are those of the stripped part in the source; empty parts are dropped."""
-    clean = F.regexp_replace(F.col(text), r"\r\n?", "\n")
-    parts = F.split(clean, r"\n[ \t]*\n")
-    gaps = F.regexp_extract_all(clean, F.lit(r"(\n[ \t]*\n)"), F.lit(1))
-    rows = docs.select(F.col(doc), F.posexplode(parts).alias("k", "part"), gaps.alias("gaps"), parts.alias("parts"))
-    before = F.aggregate(F.slice("parts", 1, F.col("k")), F.lit(0), lambda a, x: a + F.length(x)) + F.aggregate(
-        F.slice("gaps", 1, F.col("k")), F.lit(0), lambda a, x: a + F.length(x)
-    )
-    lead = F.length("part") - F.length(F.regexp_replace("part", r"^\s+", ""))
-    rows = rows.select(
-        doc,
-        "k",
-        (before + lead).alias("start_char"),
-        F.regexp_replace("part", r"^\s+|\s+$", "").alias("part"),
-    ).where(F.length("part") > 0)
-    index = F.row_number().over(Window.partitionBy(doc).orderBy("k")) - 1
-    return rows.select(
-        doc,
-        F.format_string("paragraph-%04d", index).alias("id"),
-        index.alias("index"),
-        T.squeeze(F.regexp_replace("part", r"(?<=\w)-\n(?=\w)", "")).alias("text"),
-        "start_char",
-        (F.col("start_char") + F.length("part")).alias("end_char"),
+    a line's end joined. Offsets are those of the whole part in the source; parts without text are dropped.
+    Null, empty and blank texts have none; a repeated row has its paragraphs again."""
+    return _spans(docs, doc, text, paragraph_spans).select(doc, F.format_string("paragraph-%04d", "index").alias("id"), "index", "text", "start_char", "end_char")
+
+
+def page_paragraphs(pages: DataFrame, doc: str = "doc_id", page: str = "page_no", text: str = "text", ocr: str | None = None) -> DataFrame:
+    """As ``paragraphs``, of the pages of documents, with ``page_number``; numbered across a document's pages.
+
+    A page without text takes that of the column ``ocr`` if it is given. Offsets are those in the page's
+    stripped text. A document none of whose pages has text has no rows.
+    """
+    strip = lambda c: F.regexp_replace(c, f"^{T.BLANKS}+|{T.BLANKS}+$", "")
+    own = F.nullif(strip(F.col(text)), F.lit(""))
+    shown = F.coalesce(own, strip(F.col(ocr))) if ocr else own
+    spans = _spans(pages.select(F.struct(F.col(doc).alias("doc"), F.col(page).alias("page")).alias("__page"), shown.alias("__shown")), "__page", "__shown", paragraph_spans)
+    index = F.row_number().over(Window.partitionBy("__page.doc").orderBy("__page.page", "index")) - 1
+    return spans.withColumn("index", index).select(
+        F.col("__page.doc").alias(doc), F.format_string("paragraph-%04d", "index").alias("id"), "index", F.col("__page.page").alias("page_number"), "text", "start_char", "end_char"
     )
 
 
-def chunks(docs: DataFrame, doc: str = "doc_id", text: str = "text", limit: int = 4000, overlap: int = 350) -> DataFrame:
-    """doc, id, index, text, start_char, end_char: windows of at most ``limit`` characters, each cut at the
-    last blank line or sentence end of its second half, the next starting the overlap before. The text is
-    stripped, the offsets aren't. A fold over the document's own windows: no shuffle."""
-    step = F.expr(
-        f"""
-        aggregate(
-          sequence(0, int(length({text}) / {max(1, limit // 2 - min(overlap, limit // 3))}) + 2),
-          named_struct('at', 0, 'done', false, 'out', cast(array() as array<struct<a:int,b:int>>)),
-          (s, _) -> if(s.done, s, {_window_step(text, limit, min(overlap, limit // 3))}),
-          s -> s.out)
-        """
+def scan_texts(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc, text (the paragraphs, joined by blank lines), n_paragraphs, source_text, error: one row a document. A
+    text without a paragraph has an error in place of the text."""
+    kind = docs.select(F.col(doc).alias("__doc"), F.col(text).alias("source_text"))
+    joined = _spans(docs, doc, text, lambda x: ((y, 0, 0) for y in ["\n\n".join(p for p, _, _ in paragraph_spans(x))] if y)).select(
+        F.col(doc).alias("__doc"), "text"
     )
-    rows = docs.where(F.length(F.trim(text)) > 0).select(doc, text, F.posexplode(step).alias("index", "w"))
-    piece = F.expr(f"substring({text}, w.a + 1, w.b - w.a)")
-    return rows.select(
-        doc,
-        F.format_string("chunk-%03d", "index").alias("id"),
-        "index",
-        F.regexp_replace(piece, r"^\s+|\s+$", "").alias("text"),
-        F.col("w.a").alias("start_char"),
-        F.col("w.b").alias("end_char"),
+    count = _spans(docs, doc, text, paragraph_spans).groupBy(F.col(doc).alias("__doc")).agg(F.count("*").cast("int").alias("n_paragraphs"))
+    return kind.join(joined, "__doc", "left").join(count, "__doc", "left").select(
+        F.col("__doc").alias(doc), "text", F.coalesce("n_paragraphs", F.lit(0)).alias("n_paragraphs"), "source_text",
+        F.when(F.col("text").isNull(), "The text has no paragraphs").alias("error"),
     )
 
 
-def _window_step(text: str, limit: int, overlap: int) -> str:
-    half = limit // 2
-    window = f"substring({text}, s.at + 1, {limit})"
-    blank = f"if(instr({window}, chr(10) || chr(10)) = 0, -1, length({window}) - instr(reverse({window}), chr(10) || chr(10)) - 1)"
-    stop = f"if(instr({window}, '. ') = 0, -1, length({window}) - instr(reverse({window}), ' .') - 1)"
-    cut = f"case when {blank} >= {half} and {blank} >= {stop} then {blank} when {stop} >= {half} then {stop} + 2 else {limit} end"
-    end = f"if(s.at + {limit} >= length({text}), length({text}), s.at + ({cut}))"
-    return (
-        f"named_struct('at', greatest({end} - {overlap}, s.at + 1), 'done', {end} >= length({text}), "
-        f"'out', concat(s.out, array(named_struct('a', s.at, 'b', {end}))))"
+def chunks(docs: DataFrame, doc: str = "doc_id", text: str = "text", limit: int = 4000, overlap: int = 350) -> DataFrame:
+    """doc, id, index, text, start_char, end_char: windows of at most ``limit`` characters, each cut at the
+    last blank line or sentence end of its second half, the next starting the overlap before. The text is
+    stripped, the offsets aren't; a text within the limit is one chunk as it is. Null and blank texts have none."""
+    return _spans(docs, doc, text, lambda x: chunk_spans(x, limit, overlap)).select(
+        doc, F.format_string("chunk-%03d", "index").alias("id"), "index", "text", "start_char", "end_char"
     )
 
 
@@ -127,7 +177,7 @@ def tagged_sentences(docs: DataFrame, doc: str = "doc_id", text: str = "text") -
 
     Headings carry forward by a window within the document. Null and blank texts have no sentences.
     """
-    lines = docs.select(doc, F.posexplode(F.split(F.col(text), r"\n")).alias("pos", "line")).withColumn(
+    lines = docs.select(doc, F.posexplode(T.lines(F.col(text))).alias("pos", "line")).withColumn(
         "line", F.regexp_replace(T.squeeze(F.col("line")), r"^[ \-]+|[ \-]+$", "")
     )
     heading = F.nullif(F.lower(F.regexp_extract("line", T.SECTION, 1)), F.lit(""))

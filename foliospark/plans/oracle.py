@@ -12,9 +12,17 @@ SECTION = r"(?i)^\s*(?:\d+(?:\.\d+)*[\s.)-]+)?(abstract|introduction|background|
 CUES = "propose|present|introduce|develop|design|use|apply|adopt|employ"
 
 
+BLANKS = r"[\s\x1C-\x1F\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+
+
 def sq(x: str) -> str:
     """White space squeezed."""
-    return rf"trim(regexp_replace({x}, '\s+', ' ', 'g'))"
+    return rf"trim(regexp_replace({x}, '{BLANKS}+', ' ', 'g'))"
+
+
+def lines(x: str) -> str:
+    """The lines of a text, whatever ends them."""
+    return rf"string_split_regex({x}, '\r\n|[\n\x0B\f\r\x1C-\x1E\x{{85}}\x{{2028}}\x{{2029}}]')"
 
 
 def low(x: str) -> str:
@@ -36,7 +44,7 @@ def score(cues: str) -> str:
 
 PAGES = """pages AS (SELECT read_id AS doc_id, p.page_no AS page_no, string_agg(p.text, chr(10) ORDER BY p.idx, id) AS text FROM
  (SELECT read_id, id, max(struct_pack(page_no := coalesce(page_number, 0), idx := "index", text := text)) AS p FROM paragraphs GROUP BY read_id, id) GROUP BY read_id, p.page_no)"""
-BODY = f"""{PAGES}, raw AS (SELECT doc_id, page_no, unnest(string_split(text, chr(10))) AS l, generate_subscripts(string_split(text, chr(10)), 1) AS k FROM pages),
+BODY = f"""{PAGES}, raw AS (SELECT doc_id, page_no, unnest({lines('text')}) AS l, generate_subscripts({lines('text')}, 1) AS k FROM pages),
  clean AS (SELECT doc_id, page_no, k, {sq('l')} AS line FROM raw),
  placed AS (SELECT doc_id, page_no, line, row_number() OVER w - 1 AS pos, count(*) OVER (PARTITION BY doc_id, page_no) - row_number() OVER w AS rest,
    trim(regexp_replace({low('line')}, '\\b\\d+\\b', '#', 'g')) AS key FROM clean WHERE length(line) > 0 WINDOW w AS (PARTITION BY doc_id, page_no ORDER BY k)),
@@ -45,7 +53,7 @@ BODY = f"""{PAGES}, raw AS (SELECT doc_id, page_no, unnest(string_split(text, ch
  body AS (SELECT doc_id, page_no, pos, line FROM placed p LEFT JOIN stops s USING (doc_id) WHERE (s.at IS NULL OR page_no * 1000000 + pos < s.at)
    AND NOT regexp_matches(line, '{NOTICE}') AND NOT (regexp_matches(line, '{PAGE}') AND (pos < 2 OR rest < 2))
    AND NOT ((pos < 4 OR rest < 4) AND EXISTS (SELECT 1 FROM again a WHERE a.doc_id = p.doc_id AND a.key = p.key)))"""
-SENTENCES = f"""{DOCS}, raw AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS l, generate_subscripts(string_split(text, chr(10)), 1) AS k FROM docs),
+SENTENCES = f"""{DOCS}, raw AS (SELECT doc_id, unnest({lines('text')}) AS l, generate_subscripts({lines('text')}, 1) AS k FROM docs),
  clean AS (SELECT doc_id, k, regexp_replace({sq('l')}, '^[ \\-]+|[ \\-]+$', '', 'g') AS line FROM raw),
  head AS (SELECT doc_id, k, line, nullif(lower(regexp_extract(line, '{SECTION}', 1)), '') AS h FROM clean WHERE length(line) > 0),
  tagged AS (SELECT doc_id, k, line, h, coalesce(last_value(h IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY k ROWS UNBOUNDED PRECEDING), 'opening') AS section FROM head),
@@ -166,7 +174,7 @@ def measure(sentence: str) -> str:
 ROLES["approach"] = ("method|architecture|model|framework|approach", ROLES["method"][1])
 BEST = f"""{SENTENCES}, l AS (SELECT *, {low('sentence')} AS lo FROM sents), b AS (SELECT doc_id, {', '.join(best(r) for r in ROLES)},
       arg_min(CASE WHEN length(sentence) >= 35 THEN {compact('sentence', 280)} ELSE sentence END, CASE WHEN length(sentence) >= 35 THEN 0 ELSE 1000000 END + idx) AS opening FROM l GROUP BY doc_id)"""
-TITLE = rf"coalesce(list_filter(list_transform(string_split(text, chr(10)), lambda x: regexp_replace(x, '^[ #\t]+|[ #\t]+$', '', 'g')), lambda x: length(x) BETWEEN 4 AND 140)[1], 'Imported research paper')"
+TITLE = rf"coalesce(list_filter(list_transform({lines('text')}, lambda x: regexp_replace(x, '^[ #\t]+|[ #\t]+$', '', 'g')), lambda x: length(x) BETWEEN 4 AND 140)[1], 'Imported research paper')"
 #: One row a document: title, and the sentence of each role after its fallbacks.
 WIDE = f"""{BEST}, w AS (SELECT d.doc_id, {TITLE} AS title, coalesce(thesis, opening) AS t, coalesce(method, approach) AS m, coalesce(finding, thesis, opening) AS f,
       coalesce(experiment, method, approach) AS e, coalesce(metric, finding, thesis, opening) AS r FROM docs d LEFT JOIN b USING (doc_id)),
@@ -177,17 +185,26 @@ WIDE = f"""{BEST}, w AS (SELECT d.doc_id, {TITLE} AS title, coalesce(thesis, ope
        CASE WHEN r IS NULL THEN 'Result reported by the paper' ELSE {measure('r')} END AS rl FROM w)"""
 MISSING = "'The paper does not expose a clear {} in the extracted text.'"
 
+ONE_BREAK = "replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10))"
+WORD, TAB, NL, BACK = r"\p{L}\p{N}_", r"\t", r"\n", "\\"
+
+
+def strip(x: str) -> str:
+    return rf"regexp_replace({x}, '^{BLANKS}+|{BLANKS}+$', '', 'g')"
+
+
 SQL: dict[str, str] = {
-    "t9_paragraphs": rf"""WITH {DOCS}, p AS (SELECT doc_id, string_split_regex(replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)), '\n[ \t]*\n') AS ps, regexp_extract_all(replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)), '\n[ \t]*\n') AS gs FROM docs),
+    "t9_paragraphs": rf"""WITH {DOCS}, p AS (SELECT doc_id, string_split_regex({ONE_BREAK}, '\n[ \t]*\n+') AS ps, regexp_extract_all({ONE_BREAK}, '\n[ \t]*\n+') AS gs FROM docs),
       x AS (SELECT doc_id, unnest(ps) AS part, generate_subscripts(ps, 1) AS k, ps, gs FROM p),
-      y AS (SELECT doc_id, k, coalesce(list_sum(list_transform(ps[1:k - 1], lambda z: length(z))), 0) + coalesce(list_sum(list_transform(gs[1:k - 1], lambda z: length(z))), 0) + length(part) - length(regexp_replace(part, '^\s+', '')) AS start_char, regexp_replace(part, '^\s+|\s+$', '', 'g') AS part FROM x),
-      z AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY k) - 1 AS n FROM y WHERE length(part) > 0)
-      SELECT doc_id, 'paragraph-' || printf('%04d', n) AS id, CAST(n AS INT) AS "index", {sq(r"regexp_replace(part, '([A-Za-z0-9_])-\n([A-Za-z0-9_])', '\1\2', 'g')")} AS text, CAST(start_char AS INT) AS start_char, CAST(start_char + length(part) AS INT) AS end_char FROM z""",
+      y AS (SELECT doc_id, k, part, coalesce(list_sum(list_transform(ps[1:k - 1], lambda z: length(z))), 0) + coalesce(list_sum(list_transform(gs[1:k - 1], lambda z: length(z))), 0) AS start_char,
+       {strip(f"regexp_replace(regexp_replace(part, '([{WORD}])-[ {TAB}]*{NL}[ {TAB}]*([{WORD}])', '{BACK}1{BACK}2', 'g'), '[ {TAB}{NL}]+', ' ', 'g')")} AS text FROM x),
+      z AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY k) - 1 AS n FROM y WHERE length(text) > 0)
+      SELECT doc_id, 'paragraph-' || printf('%04d', n) AS id, CAST(n AS INT) AS "index", text, CAST(start_char AS INT) AS start_char, CAST(start_char + length(part) AS INT) AS end_char FROM z""",
     "t10_chunks": f"""WITH RECURSIVE {DOCS}, n AS (SELECT doc_id, text, length(text) AS len FROM docs WHERE length(trim(text)) > 0),
       cuts AS (SELECT doc_id, 0 AS k, CAST(0 AS BIGINT) AS a, CASE WHEN len <= 4000 THEN len ELSE {{0}} END AS b, len FROM n
        UNION ALL SELECT c.doc_id, k + 1, greatest(b - 350, a + 1), CASE WHEN greatest(b - 350, a + 1) + 4000 >= c.len THEN c.len ELSE greatest(b - 350, a + 1) + {{1}} END, c.len FROM cuts c JOIN n USING (doc_id) WHERE b < c.len)
       SELECT doc_id, 'chunk-' || printf('%03d', k) AS id, CAST(k AS INT) AS "index", CAST(a AS INT) AS start_char, CAST(b AS INT) AS end_char,
-       CAST(length(regexp_replace(substr(text, CAST(a + 1 AS BIGINT), CAST(b - a AS BIGINT)), '^\\s+|\\s+$', '', 'g')) AS INT) AS n_chars FROM cuts JOIN n USING (doc_id)""",
+       CAST(CASE WHEN len <= 4000 THEN len ELSE length({strip("substr(text, CAST(a + 1 AS BIGINT), CAST(b - a AS BIGINT))")}) END AS INT) AS n_chars FROM cuts JOIN n USING (doc_id, len)""",
     "ox1_concepts": f"""WITH {WIDE} SELECT doc_id, 0 AS pos, 'thesis' AS id, substr(title, 1, 72) AS label, thesis AS description, 0.84::DOUBLE AS confidence FROM k
       UNION ALL SELECT doc_id, 1, 'method', ml, coalesce(m, {MISSING.format('method section')}), 0.80::DOUBLE FROM k UNION ALL SELECT doc_id, 2, 'finding', fl, coalesce(f, {MISSING.format('findings section')}), 0.78::DOUBLE FROM k
       UNION ALL SELECT doc_id, 3, 'experiment', el, coalesce(e, {MISSING.format('evaluation description')}), 0.76::DOUBLE FROM k UNION ALL SELECT doc_id, 4, 'metric', rl, coalesce(r, {MISSING.format('measurable result')}), 0.73::DOUBLE FROM k""",
@@ -203,15 +220,15 @@ SQL: dict[str, str] = {
     "t1_body_lines": f"WITH {BODY} SELECT doc_id, page_no, CAST(pos AS INT) AS pos, line FROM body",
     "t1_body_text": f"""WITH {BODY}, step AS (SELECT *, ends_with(line, '-') AND coalesce(regexp_matches(lead(line) OVER (PARTITION BY doc_id ORDER BY page_no, pos), '^[a-z]'), false) AS on FROM body)
       SELECT doc_id, length(text) AS n_chars, md5(text) AS digest FROM (SELECT doc_id, trim(regexp_replace(string_agg(CASE WHEN "on" THEN regexp_replace(line, '-$', '') ELSE line || chr(10) END, '' ORDER BY page_no, pos), '\\n+$', '')) AS text FROM step GROUP BY doc_id)""".replace("AS on FROM", 'AS "on" FROM'),
-    "t3_edge_keys": f"""WITH {DOCS}, l AS (SELECT {sq('line')} AS line FROM (SELECT unnest(string_split(text, chr(10))) AS line FROM docs))
+    "t3_edge_keys": f"""WITH {DOCS}, l AS (SELECT {sq('line')} AS line FROM (SELECT unnest({lines('text')}) AS line FROM docs))
       SELECT trim(regexp_replace({low('line')}, '\\b\\d+\\b', '#', 'g')) AS key, count(*) AS n FROM l WHERE length(line) > 0 GROUP BY 1""",
     "t4_t8_flags": f"""WITH {DOCS} SELECT doc_id, length(trim(text)) >= 240 OR length(regexp_replace(text, '[^\\p{{L}}]', '', 'g')) >= 120 AS meaningful,
       regexp_matches({low('text')}, 'a required part of this site couldn|a required part of this site could not load|this may be due to a browser|enable javascript to continue|please enable javascript|access denied|verify you are human|checking your browser|cf-chl-') AS browser_error,
-      CAST(len(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '{STOP}'))) AS INT) AS stop_headings, CAST(len(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '{PAGE}'))) AS INT) AS page_numbers,
-      CAST(len(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '{NOTICE}'))) AS INT) AS notices FROM docs""",
+      CAST(len(list_filter({lines('text')}, lambda x: regexp_matches(x, '{STOP}'))) AS INT) AS stop_headings, CAST(len(list_filter({lines('text')}, lambda x: regexp_matches(x, '{PAGE}'))) AS INT) AS page_numbers,
+      CAST(len(list_filter({lines('text')}, lambda x: regexp_matches(x, '{NOTICE}'))) AS INT) AS notices FROM docs""",
     "t11_compact": f"WITH {EVID} SELECT doc_id, id, {compact('excerpt', 60)} AS short FROM ev WHERE excerpt IS NOT NULL",
     "t13_sentences": f"WITH {SENTENCES} SELECT doc_id, idx, sentence, section FROM sents",
-    "t14_t15_titles": rf"""WITH {DOCS} SELECT doc_id, coalesce(list_filter(list_transform(string_split(text, chr(10)), lambda x: regexp_replace(x, '^[ #\t]+|[ #\t]+$', '', 'g')), lambda x: length(x) BETWEEN 4 AND 140)[1], 'Imported research paper') AS title,
+    "t14_t15_titles": rf"""WITH {DOCS} SELECT doc_id, coalesce(list_filter(list_transform({lines('text')}, lambda x: regexp_replace(x, '^[ #\t]+|[ #\t]+$', '', 'g')), lambda x: length(x) BETWEEN 4 AND 140)[1], 'Imported research paper') AS title,
       CAST(nullif(regexp_extract(text, '\b(?:19|20)\d{{2}}\b', 0), '') AS INT) AS "year" FROM docs""",
     "t16_search": f"""WITH {DOCS}, f AS (SELECT doc_id, text, unnest(['mixed-effects model', 'mixed-effects', 'model']) AS term, unnest([1, 2, 3]) AS k FROM docs),
       x AS (SELECT doc_id, k, {sq('substr(text, greatest(pos - 121, 0) + 1, pos + 239 - greatest(pos - 121, 0))')} AS excerpt FROM (SELECT *, instr(lower(text), term) AS pos FROM f) WHERE pos > 0),
