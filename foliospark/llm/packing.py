@@ -28,6 +28,10 @@ SHARD_ITEMS = 16_384
 SAMPLE_ITEMS, MOST_CLUSTERS, CLUSTERS_PER_SHARD, ROUNDS = 16_384, 1024, 8, 8
 #: Numbers that a document's tokens are hashed to for clustering.
 WIDTH = 1024
+#: A token of more than one in so many items is frequent; seeds whose scores are prepared at once.
+OFTEN, SEEDS = 16, 64
+#: Neighbours that are put in order at once.
+AT_ONCE = 128
 #: Usual constants of BM25.
 K1, B = 1.2, 0.75
 
@@ -79,23 +83,38 @@ class Index:
         owner = np.repeat(np.arange(len(sizes)), np.diff(offsets))
         pairs, tf = np.unique(owner * (1 << 32) + terms, return_counts=True)
         self.item, term = pairs >> 32, pairs & 0xFFFFFFFF
-        self.begin = np.searchsorted(self.item, np.arange(len(sizes) + 1))
         names, self.term = np.unique(term, return_inverse=True)
         df = np.bincount(self.term, minlength=len(names))
         idf = np.log1p((len(sizes) - df + 0.5) / (df + 0.5))
         mean = max(1.0, float(sizes.mean()))
         weight = idf[self.term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * sizes[self.item] / mean))
-        self.weight, self.df = weight, df
+        self.size = len(sizes)
+        # tokens of many items are columns of a matrix, by which the scores of many seeds are had at once; the others are lists
+        often = df * OFTEN > len(sizes)
+        column = np.cumsum(often) - 1
+        mine = often[self.term]
+        self.dense = np.zeros((len(sizes), int(often.sum())), np.float32)
+        self.dense[self.item[mine], column[self.term[mine]]] = weight[mine]
+        self.item, self.term, weight = self.item[~mine], self.term[~mine], weight[~mine]
+        self.begin = np.searchsorted(self.item, np.arange(len(sizes) + 1))
+        self.df = np.where(often, 0, df)
         order = np.argsort(self.term, kind="stable")
         self.posting_item, self.posting_weight = self.item[order], weight[order]
-        self.posting_begin = np.concatenate([[0], np.cumsum(df)])
+        self.posting_begin = np.concatenate([[0], np.cumsum(self.df)])
+        self.ready: dict[int, np.ndarray] = {}
+
+    def prepare(self, seeds: np.ndarray) -> None:
+        """The part of some seeds' scores that their frequent tokens give."""
+        self.ready = dict(zip(seeds.tolist(), (self.dense[seeds] > 0).astype(np.float32) @ self.dense.T))
 
     def neighbours(self, seed: int) -> tuple[np.ndarray, np.ndarray]:
         """Items that share any of the seed's terms, with their scores."""
+        if seed not in self.ready:
+            self.prepare(np.array([seed]))
         own = self.term[self.begin[seed] : self.begin[seed + 1]]
         count = self.df[own]
         at = np.repeat(self.posting_begin[own] - (np.cumsum(count) - count), count) + np.arange(count.sum())
-        scores = np.bincount(self.posting_item[at], self.posting_weight[at], minlength=len(self.begin) - 1)
+        scores = self.ready[seed] + np.bincount(self.posting_item[at], self.posting_weight[at], minlength=self.size)
         items = np.flatnonzero(scores)
         return items, scores[items]
 
@@ -135,15 +154,19 @@ def fill(sizes: np.ndarray, terms: np.ndarray, offsets: np.ndarray, capacity: in
         put(seed, 0)
         room, at = capacity - int(sizes[seed]), 1
         if room:
+            if seed not in index.ready:  # items come by size, so the next seeds are among those that follow
+                index.prepare(np.concatenate([[seed], np.flatnonzero(free[seed : seed + 8 * SEEDS])[: SEEDS - 1] + seed]))
             items, scores = index.neighbours(seed)
-            fits = free[items] & (sizes[items] <= room)
-            items, scores = items[fits], scores[fits]
-            for i in items[np.lexsort((items, -scores))].tolist():
-                if sizes[i] <= room:
-                    put(i, at)
-                    room, at = room - int(sizes[i]), at + 1
-                    if not left[: room + 1].any():
-                        break
+            while room and left[: room + 1].any():  # the best that fit, then the best of those that still do
+                fits = free[items] & (sizes[items] <= room)
+                items, scores = items[fits], scores[fits]
+                if not len(items):
+                    break
+                best = np.argpartition(-scores, AT_ONCE)[:AT_ONCE] if len(items) > AT_ONCE else np.arange(len(items))
+                for i in items[best[np.lexsort((items[best], -scores[best]))]].tolist():
+                    if sizes[i] <= room:
+                        put(i, at)
+                        room, at = room - int(sizes[i]), at + 1
             while (i := largest(room)) is not None:
                 put(i, at)
                 room, at = room - int(sizes[i]), at + 1
