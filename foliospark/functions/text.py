@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -55,6 +56,11 @@ METRIC_WORD = r"(?i)\b(?:accuracy|precision|recall|F1(?:-score)?|AUC|BLEU|ROUGE|
 METRIC_NUMBER = r"[+-]?\d+(?:\.\d+)?\s*(?:%|percent|percentage points)?"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often the body names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def fold(c: Column) -> Column:
     """Lower case; the sharp s and Latin ligatures as letters."""
     for sign, letters in (("ß", "ss"), ("ﬁ", "fi"), ("ﬂ", "fl"), ("ﬀ", "ff")):
@@ -74,9 +80,12 @@ def lines(text: Column) -> Column:
 
 def compact(c: Column, limit: int = 280) -> Column:
     """Squeezed, and beyond ``limit`` cut before the last part of a word, with an ellipsis."""
-    clean = squeeze(c)
-    cut = F.regexp_replace(F.regexp_replace(F.substring(clean, 1, limit - 1), r" [^ ]*$", ""), r"[ ,;:]+$", "")
-    return F.when(F.length(clean) <= limit, clean).otherwise(F.concat(cut, F.lit("…")))
+
+    def short(clean: Column) -> Column:
+        cut = F.regexp_replace(F.regexp_replace(F.substring(clean, 1, limit - 1), r" [^ ]*$", ""), r"[ ,;:]+$", "")
+        return F.when(F.length(clean) <= limit, clean).otherwise(F.concat(cut, F.lit("…")))
+
+    return let(squeeze(c), short)
 
 
 def edge_key(line: Column) -> Column:
@@ -171,7 +180,7 @@ def phrase_after(sentence: Column, cues: tuple[str, ...], limit: int = 64) -> Co
     null below four characters. The article needs a word boundary."""
     match = rf"(?i)\b(?:{'|'.join(cues)}){AFTER_CUE}"
     phrase = F.regexp_replace(compact(F.regexp_replace(F.regexp_extract(sentence, match, 1), PHRASE_STOP, ""), limit), r"^[ .,]+|[ .,]+$", "")
-    return F.when(F.length(phrase) >= 4, phrase)
+    return let(phrase, lambda p: F.when(F.length(p) >= 4, p))
 
 
 def capitalised(c: Column) -> Column:
@@ -180,17 +189,20 @@ def capitalised(c: Column) -> Column:
 
 def label(sentence: Column, cues: tuple[str, ...], default: str) -> Column:
     """A short name: the phrase after a cue, else the first eight words, else the sentence."""
-    words = F.split(squeeze(sentence), " ")
-    first = F.concat(F.regexp_replace(compact(F.array_join(F.slice(words, 1, 8), " "), 58), r"[.,]+$", ""), F.lit("…"))
     whole = F.nullif(F.regexp_replace(sentence, r"\.+$", ""), F.lit(""))
-    return F.coalesce(capitalised(phrase_after(sentence, cues)), F.when(F.size(words) > 8, first).otherwise(whole), F.lit(default))
+
+    def first(words: Column) -> Column:
+        head = F.concat(F.regexp_replace(compact(F.array_join(F.slice(words, 1, 8), " "), 58), r"[.,]+$", ""), F.lit("…"))
+        return F.when(F.size(words) > 8, head).otherwise(whole)
+
+    return F.coalesce(let(phrase_after(sentence, cues), capitalised), let(F.split(squeeze(sentence), " "), first), F.lit(default))
 
 
 def metric_label(sentence: Column) -> Column:
     """The first measure named and the first number with its unit; null without a measure."""
     word = F.nullif(F.regexp_extract(sentence, METRIC_WORD, 0), F.lit(""))
     number = F.nullif(F.trim(F.regexp_extract(sentence, METRIC_NUMBER, 0)), F.lit(""))
-    return F.coalesce(F.concat(word, F.lit(" ("), number, F.lit(")")), word)
+    return let(word, lambda w: F.coalesce(F.concat(w, F.lit(" ("), number, F.lit(")")), w))
 
 
 def experiment_label(sentence: Column) -> Column:
@@ -199,7 +211,7 @@ def experiment_label(sentence: Column) -> Column:
     subject = F.regexp_replace(subject, SUBJECT_STOP, "")
     subject = F.regexp_replace(compact(subject, 58), r"^[ .,]+|[ .,]+$", "")
     other = label(sentence, EVALUATION_CUES, "Evaluation described in the paper")
-    return F.when(F.length(subject) >= 4, capitalised(subject)).otherwise(other)
+    return let(subject, lambda x: F.when(F.length(x) >= 4, capitalised(x)).otherwise(other))
 
 
 def location(text: Column, excerpt: Column, section: Column) -> Column:

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from .analysis import quality
 from .shred import latest
 
 
@@ -40,11 +41,49 @@ def recent(runs: DataFrame, most: int = 20) -> DataFrame:
     return current_runs(runs).orderBy(F.desc("created_at"), "run_id").limit(max(1, min(most, 100)))
 
 
+def responses(states: DataFrame, concepts: DataFrame, evidence: DataFrame, key: str = "run_id") -> DataFrame:
+    """The response of each run from its last state: key, status, document_format, ocr_used, warnings, trace, usage and quality.
+
+    ``states`` has key, status, document_format, ocr_used, warnings, errors, trace, text, n_chunks, retry_count and
+    has_analysis. A run without an analysis has failed, as has any that isn't completed; warnings are followed by
+    errors; without an analysis there is no quality. Null lists count as empty, null counts as 0."""
+    none = F.array().cast("array<string>")
+    listed = lambda c: F.coalesce(c, none)
+    shares = quality(concepts, evidence, key)
+    there = F.coalesce("has_analysis", F.lit(False))
+    usage = F.struct(
+        F.coalesce(F.length("text"), F.lit(0)).alias("input_characters"), F.coalesce("n_chunks", F.lit(0)).alias("chunk_count"), F.coalesce("retry_count", F.lit(0)).alias("retries")
+    )
+    measured = F.struct(
+        F.lit(1.0).alias("schema_valid"), F.coalesce("citation_coverage", F.lit(0.0)).alias("citation_coverage"),
+        F.coalesce("location_coverage", F.lit(0.0)).alias("evidence_location_coverage"), F.coalesce("retry_count", F.lit(0)).cast("double").alias("retry_count"),
+    )
+    return states.join(shares, key, "left").select(
+        key, F.when(there & (F.col("status") == "completed"), "completed").otherwise("failed").alias("status"), "document_format",
+        F.coalesce("ocr_used", F.lit(False)).alias("ocr_used"), F.concat(listed("warnings"), listed("errors")).alias("warnings"), listed("trace").alias("trace"),
+        usage.alias("usage"), F.when(there, measured).alias("quality"),
+    )
+
+
 def response(analyses: DataFrame, doc: str = "doc_id") -> DataFrame:
     """doc and the analysis as one JSON text."""
     return analyses.select(doc, F.to_json(F.struct(*(c for c in analyses.columns if c != doc))).alias("response_json"))
 
 
+def existing_papers(forms: DataFrame, key: str = "request_id", json: str = "existing_papers") -> DataFrame:
+    """key, n, id, title, abstract and concepts of the papers in a form's JSON list; ``error`` instead for a text that
+    is no list of objects with an id and a title. An empty list and a null have no rows."""
+    papers = F.from_json(json, "array<struct<id:string,title:string,abstract:string,concepts:array<string>>>")
+    rows = forms.where(F.col(json).isNotNull()).select(key, papers.alias("p"), F.coalesce(F.trim(json).startswith("["), F.lit(False)).alias("listed"))
+    bad = ~F.col("listed") | F.col("p").isNull() | F.exists("p", lambda x: x.isNull() | x["id"].isNull() | x["title"].isNull())
+    good = rows.where(~bad).select(key, F.posexplode("p").alias("n", "x")).select(key, "n", "x.*", F.lit(None).cast("string").alias("error"))
+    wrong = rows.where(bad).select(
+        key, F.lit(0).alias("n"), *(F.lit(None).cast("string").alias(c) for c in ("id", "title", "abstract")), F.lit(None).cast("array<string>").alias("concepts"),
+        F.lit("The existing papers are no list of papers").alias("error"),
+    )
+    return good.unionByName(wrong)
+
+
 def event_lines(events: DataFrame) -> DataFrame:
     """Each row as a server-sent event."""
     return events.select(F.concat(F.lit("data: "), F.to_json(F.struct(*events.columns)), F.lit("\n\n")).alias("line"))

@@ -28,12 +28,14 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def durable(df: DataFrame) -> DataFrame:
-    """Cut the lineage of ``df`` in the shared checkpoint folder.
+    """Cut the lineage of ``df`` in the shared checkpoint folder, so that the copy survives the loss of executors.
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``; only where that is unset
-    (tests) a temporary one is made. The copy survives the loss of executors.
+    The folder is the one the cluster names in ``spark.checkpoint.dir``. Where that is unset, a local session (tests,
+    benches) makes one of its own; on a cluster that is an error, since executors would write to their own disks.
     """
-    spark = df.sparkSession
-    if spark.conf.get("spark.checkpoint.dir", None) is None and spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="folio-checkpoint-"))
+    context = df.sparkSession.sparkContext
+    if df.sparkSession.conf.get("spark.checkpoint.dir", None) is None and context.getCheckpointDir() is None:
+        if not context.master.startswith("local[") and context.master != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="folio-checkpoint-"))
     return df.checkpoint()

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..operators import pages as P
 from ..operators.segment import body_text
 
 #: Answers after which a fetch is tried again, and the waits before it.
@@ -83,7 +84,20 @@ def read_pdf(pages: DataFrame, ocr: DataFrame | None = None, doc: str = "doc_id"
 
 def fetch(urls: DataFrame, get: Callable[[str], tuple[int, str, bytes]], attempts: int = 3, wait: Callable[[float], None] = time.sleep) -> DataFrame:
     """url, status, content_type, body, tries: each address fetched with bounded retries by ``get``, which
-    gives status, content type and bytes or raises. Bodies beyond ``MOST_BYTES`` are refused (status 413)."""
+    gives status, content type and either the bytes or their parts in order, or raises. Of parts no more is read
+    than ``MOST_BYTES``: longer bodies are refused (status 413). Pages that are a browser's error page are fetched
+    again too; if all are, the last one stands."""
+
+    def within(body: bytes | Iterator[bytes] | None) -> tuple[bytes | None, bool]:
+        if body is None or isinstance(body, (bytes, bytearray, memoryview)):
+            return (None, True) if body is not None and len(body) > MOST_BYTES else (body, False)
+        parts, size = [], 0
+        for one in body:
+            size += len(one)
+            if size > MOST_BYTES:
+                return None, True
+            parts.append(one)
+        return b"".join(parts), False
 
     def run(batches: Iterator) -> Iterator:
         import pandas as pd
@@ -96,14 +110,15 @@ def fetch(urls: DataFrame, get: Callable[[str], tuple[int, str, bytes]], attempt
                     tries = k + 1
                     try:
                         status, kind, body = get(url)
+                        body, refused = within(body)
+                        status = 413 if refused else status
                     except Exception:  # noqa: BLE001
                         status, kind, body = 0, None, None
-                    if status and status not in RETRYABLE:
+                    page = body is not None and "pdf" not in (kind or "").lower() and any(m in bytes(body).decode("utf-8", "replace").casefold() for m in T.BROWSER_ERRORS)
+                    if status and status not in RETRYABLE and not (page and status < 400):
                         break
                     if k + 1 < attempts:
                         wait(WAITS[min(k, len(WAITS) - 1)])
-                if body is not None and len(body) > MOST_BYTES:
-                    status, body = 413, None
                 rows.append((url, status, kind, body, tries))
             yield pd.DataFrame(rows, columns=["url", "status", "content_type", "body", "tries"])
 
@@ -119,3 +134,44 @@ def route_fetches(landed: DataFrame) -> DataFrame:
     text = F.decode("body", "UTF-8")
     bad = (F.col("status") >= 400) | (F.col("status") == 0) | ~T.is_web_address(F.col("url")) | (html & ~pdf & T.is_browser_error(text))
     return landed.select("url", F.when(F.coalesce(bad, F.lit(True)), "error").when(pdf, "pdf").when(html, "html").otherwise("text").alias("route"), F.when(~pdf, text).alias("text"))
+
+
+#: What is told of a page that was read in place of a PDF file.
+NO_PDF = "No readable linked PDF was found; the page's own text was used."
+
+
+def read_urls(requests: DataFrame, landed: DataFrame, pdf_texts: DataFrame, most: int = MOST_CHARS) -> DataFrame:
+    """url, text, source_url, format, ocr_used, warnings and error of each requested address.
+
+    ``landed`` (url, status, content_type, body) has what was fetched, pages and linked files alike, ``pdf_texts`` (url,
+    page_no, text, and ocr_text if there is any) the page texts of the PDF files among it. A PDF file is read as one;
+    of a page, the best linked file that landed as a PDF and has a readable text is read, else the page's own
+    text unless it is a browser's error page; anything else is text. An address that is none, or didn't land, or has
+    no text, has an error and a null text.
+    """
+    asked = requests.select("url").distinct()
+    got = landed.dropDuplicates(["url"])
+    routes = route_fetches(got)
+    layers = pdf_texts.select(F.col("url").alias("doc_id"), "page_no", "text")
+    scans = pdf_texts.select(F.col("url").alias("doc_id"), "page_no", F.col("ocr_text").alias("text")) if "ocr_text" in pdf_texts.columns else None
+    files = read_pdf(layers, scans, most=most).where(F.length("text") > 0).join(routes.where("route = 'pdf'").select(F.col("url").alias("doc_id")), "doc_id", "left_semi")
+    files = files.select(F.col("doc_id").alias("file"), F.col("text").alias("file_text"), "ocr_used", F.col("status").alias("read_as"))
+    own = asked.join(routes, "url", "left").withColumn("route", F.when(~T.is_web_address(F.col("url")), "invalid").otherwise(F.coalesce("route", F.lit("error"))))
+    pages_ = own.join(got.select("url", F.decode("body", "UTF-8").alias("html")), "url").where("route = 'html'").select("url", "html")
+    linked = P.pdf_candidates(pages_, "url", "url", "html").select("url", "rank", F.col("pdf_url").alias("file"))
+    best = linked.join(files.select("file"), "file", "left_semi").groupBy("url").agg(F.min_by("file", "rank").alias("file"))
+    read = own.join(best, "url", "left").withColumn("file", F.when(F.col("route") == "pdf", F.col("url")).otherwise(F.col("file"))).join(files, "file", "left")
+    plain = own.where("route in ('html', 'text')").select(F.col("url").alias("doc_id"), F.lit(1).alias("page_no"), F.when(F.col("route") == "html", P.visible_text_udf("text")).otherwise(F.col("text")).alias("text"))
+    shown = body_text(plain).select(F.col("doc_id").alias("url"), F.nullif(F.substring("text", 1, most), F.lit("")).alias("page_text"))
+    both = read.drop("text").join(shown, "url", "left")
+    from_file = F.col("file_text").isNotNull()
+    text = F.when(from_file, F.col("file_text")).when(F.col("route").isin("html", "text"), F.col("page_text"))
+    none = F.array().cast("array<string>")
+    warning = F.when(from_file & (F.col("read_as") == "poor"), F.array(F.lit("The text layer is poor and no other reading was available."))).when(
+        ~from_file & (F.col("route") == "html"), F.array(F.lit(NO_PDF))).otherwise(none)
+    return both.select(
+        "url", text.alias("text"), F.when(text.isNotNull(), F.coalesce("file", "url")).alias("source_url"), F.when(from_file, "pdf").when(text.isNotNull(), F.col("route")).alias("format"),
+        F.coalesce("ocr_used", F.lit(False)).alias("ocr_used"), F.when(text.isNotNull(), warning).otherwise(none).alias("warnings"),
+        F.when(F.col("route") == "invalid", "The address is no http(s) address").when(F.col("route") == "error", "The address gave no readable page")
+        .when(text.isNull(), "The document has no text of a paper").alias("error"),
+    )
