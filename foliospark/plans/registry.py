@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import analysis, concepts, graph, segment, shred, store
+from ..operators import analysis, concepts, graph, pages, segment, shred, store
+from ..sources import documents
 from ..streaming import progress
-from .oracle import SQL
+from .oracle_more import SQL
 
 FLAGSHIP = "ox1_concepts"
 
@@ -67,7 +68,7 @@ def _run_concepts(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFram
         F.transform(F.array_sort(F.collect_list(F.struct("ordinals", "evidence_id"))), lambda x: x["evidence_id"]).alias("evidence_ids")
     )
     found = tables["concepts"].join(ids.withColumnRenamed("at", "ordinals"), ["run_id", "ordinals"], "left").select(
-        F.col("run_id").alias("doc_id"), "id", "label", "kind", "description", F.col("confidence").cast("double").alias("confidence"),
+        F.col("run_id").alias("doc_id"), "id", "label", "kind", "description", "concept_type", F.col("confidence").cast("double").alias("confidence"),
         F.coalesce("evidence_ids", F.array().cast("array<string>")).alias("evidence_ids"), "ordinals",
     )
     pieces = tables["evidence"].select(F.col("run_id").alias("doc_id"), "id", "claim", "kind", "excerpt", "source_location", F.col("confidence").cast("double").alias("confidence"))
@@ -134,11 +135,12 @@ def t23_terms(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def t24_relationship(spark: SparkSession, folder: str) -> DataFrame:
-    return _evidence(spark, folder).where("excerpt is not null").groupBy(T.relationship(F.col("excerpt")).alias("relationship_type")).agg(F.count("*").alias("n"))
+    """What the text of each read says of its relation to earlier work."""
+    return _docs(spark, folder).select("doc_id", T.relationship(F.col("text")).alias("relationship_type"))
 
 
 def t26_anchored(spark: SparkSession, folder: str) -> DataFrame:
-    """Evidence anchored in its paper's abstract or title."""
+    """Evidence anchored in its paper's abstract or title; see ``t26_read_anchored`` for the papers' texts."""
     e, p = _evidence(spark, folder), _papers(spark, folder)
     source = F.concat_ws("\n", "title", "abstract")
     return e.join(p.select("doc_id", source.alias("source")), "doc_id").groupBy("doc_id").agg(
@@ -205,9 +207,31 @@ def oe1_explanations(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def ov2_violations(spark: SparkSession, folder: str) -> DataFrame:
+    """The rules over the runs' own concepts and evidence, with the run's claims as the text that must hold its excerpts."""
     c, e = _run_concepts(spark, folder)
+    return analysis.violations(c, e, e.groupBy("doc_id").agg(F.array_join(F.array_sort(F.collect_set("claim")), " ").alias("text")))
+
+
+def _spoiled(c: DataFrame, e: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Concepts and evidence with a fault put in by kind: concepts of findings name evidence that isn't there, those of
+    metrics none; excerpts of data sets are invented, statistics stand twice, methods' ids are their experiments'."""
+    ids = F.when(F.col("kind") == "finding", F.concat("evidence_ids", F.array(F.lit("evidence-none")))).when(F.col("kind") == "metric", F.array().cast("array<string>")).otherwise(F.col("evidence_ids"))
+    concepts_ = c.withColumn("evidence_ids", ids).withColumn("id", F.when(F.col("kind") == "method", "experiment").otherwise(F.col("id")))
+    pieces = e.withColumn("excerpt", F.when(F.col("kind") == "dataset", "Nobody wrote this sentence.").otherwise(F.col("excerpt")))
+    return concepts_, pieces.unionByName(pieces.where("kind = 'statistic'"))
+
+
+def j2_injected(spark: SparkSession, folder: str) -> DataFrame:
+    return analysis.dangling(*_spoiled(*_run_concepts(spark, folder)))
+
+
+def ov2_injected(spark: SparkSession, folder: str) -> DataFrame:
+    """Every rule that some run breaks once faults are put in, each by itself."""
+    c, e = _run_concepts(spark, folder)
+    bad, pieces = _spoiled(c, e)
     texts = e.groupBy("doc_id").agg(F.array_join(F.array_sort(F.collect_set("excerpt")), " ").alias("text"))
-    return analysis.violations(c, e, texts)
+    one = lambda c_, e_: analysis.violations(c_, e_, texts)
+    return one(bad, pieces).unionByName(one(bad, e)).unionByName(one(c, pieces.dropDuplicates(["doc_id", "id"]))).distinct()
 
 
 def ov2_paper_violations(spark: SparkSession, folder: str) -> DataFrame:
@@ -233,7 +257,7 @@ def oc1_compare(spark: SparkSession, folder: str) -> DataFrame:
 
 def g1_nodes(spark: SparkSession, folder: str) -> DataFrame:
     c, _ = _run_concepts(spark, folder)
-    return graph.map_nodes(c.dropDuplicates(["doc_id", "id"])).select("doc_id", "node_id", "kind", F.col("x").cast("int").alias("x"), F.col("y").cast("int").alias("y"))
+    return graph.map_nodes(c.dropDuplicates(["doc_id", "id"])).select("doc_id", "node_id", "kind", F.round("x", 4).alias("x"), F.round("y", 4).alias("y"))
 
 
 def g2_edges(spark: SparkSession, folder: str) -> DataFrame:
@@ -271,6 +295,251 @@ def st_windows(spark: SparkSession, folder: str) -> DataFrame:
     return progress.tumbling(_table(spark, folder, "events")).select(F.unix_micros("start").alias("start_us"), "event_type", "n", F.round("total", 4).alias("total"))
 
 
+def s1_texts(spark: SparkSession, folder: str) -> DataFrame:
+    return documents.from_texts(_docs(spark, folder)).select("doc_id", F.length("text").alias("n_chars"), F.md5("text").alias("digest"), "format", "status")
+
+
+def s4_pdf_reads(spark: SparkSession, folder: str) -> DataFrame:
+    """The pages of pdf reads as text layers; the first paragraph of a page stands in for its OCR text."""
+    pages_ = _pages(spark, folder)
+    ocr = pages_.select("doc_id", "page_no", F.split("text", "\n")[0].alias("text"))
+    return documents.read_pdf(pages_, ocr).select("doc_id", F.length("text").alias("n_chars"), F.md5("text").alias("digest"), "ocr_used", "status")
+
+
+def s6_uploads(spark: SparkSession, folder: str) -> DataFrame:
+    """The reads as uploaded files."""
+    suffix = F.when(F.col("format") == "pdf", ".PDF").when(F.col("format") == "text", ".md").otherwise(".html")
+    once = _table(spark, folder, "reads").where("text is not null").groupBy("read_id", "format").agg(F.max("text").alias("text"))
+    files = once.select(F.concat(F.col("read_id").cast("string"), suffix).alias("path"), F.encode("text", "UTF-8").alias("content"))
+    return documents.uploads(files).select("path", "route", F.md5("text").alias("digest"))
+
+
+def s7_page_paragraphs(spark: SparkSession, folder: str) -> DataFrame:
+    rows = segment.page_paragraphs(_pages(spark, folder))
+    return rows.select("doc_id", "id", F.col("page_number").cast("int").alias("page_number"), "text", "start_char", "end_char")
+
+
+def s8_scans(spark: SparkSession, folder: str) -> DataFrame:
+    every = _table(spark, folder, "reads").groupBy(F.col("read_id").alias("doc_id")).agg(F.coalesce(F.max("text"), F.lit("")).alias("text"))
+    return segment.scan_texts(every).select("doc_id", "n_paragraphs", F.md5("text").alias("digest"), F.col("error").isNotNull().alias("failed"))
+
+
+def s9_urls(spark: SparkSession, folder: str) -> DataFrame:
+    """The papers' addresses against reads as what landed: pages link to the file of the same paper, pdf reads are the files."""
+    reads = _table(spark, folder, "reads").where("text is not null and doc_id is not null").groupBy("doc_id", "format").agg(F.max("text").alias("text"))
+    page = F.concat(F.lit("https://papers.example.org/"), "doc_id")
+    link = F.concat(F.lit('<html><body><a href="/'), "doc_id", F.lit('.pdf">PDF</a><main><p>'), F.regexp_replace("text", "[<>&]", " "), F.lit("</p></main></body></html>"))
+    html = reads.where("format = 'html'").select(page.alias("url"), F.lit(200).alias("status"), F.lit("text/html").alias("content_type"), F.encode(link, "UTF-8").alias("body"))
+    files = reads.where("format = 'pdf'").select(F.concat(page, F.lit(".pdf")).alias("url"), F.lit(200).alias("status"), F.lit("application/pdf").alias("content_type"), F.encode(F.lit("%PDF-1"), "UTF-8").alias("body"))
+    texts = reads.where("format = 'pdf'").select(F.concat(page, F.lit(".pdf")).alias("url"), F.lit(1).alias("page_no"), "text")
+    asked = _papers(spark, folder).select(page.alias("url")).unionByName(spark.createDataFrame([("not-a-url",)], "url string"))
+    return documents.read_urls(asked, html.unionByName(files), texts).select("url", "source_url", "format", F.length("text").alias("n_chars"), F.size("warnings").alias("n_warnings"), F.col("error").isNotNull().alias("failed"))
+
+
+def t7_page_text(spark: SparkSession, folder: str) -> DataFrame:
+    """The visible text of posts, whose markup is that of web pages."""
+    posts = _table(spark, folder, "documents").where("text is not null")
+    return posts.select("doc_id", pages.visible_text_udf("text").alias("text")).select("doc_id", F.length("text").alias("n_chars"), F.md5("text").alias("digest"))
+
+
+def l1_pdf_links(spark: SparkSession, folder: str) -> DataFrame:
+    posts = _table(spark, folder, "documents").select("doc_id", F.lit("https://posts.example.org/").alias("url"), F.col("text").alias("html"))
+    return pages.pdf_candidates(posts, "doc_id")
+
+
+def t21_locations(spark: SparkSession, folder: str) -> DataFrame:
+    """Where each excerpt stands in its paper's title and abstract."""
+    source = F.concat_ws("\n", "title", F.regexp_replace("abstract", r"(?<=[.]) ", "\n"))
+    rows = _evidence(spark, folder).where("excerpt is not null").join(_papers(spark, folder).select("doc_id", source.alias("source")), "doc_id")
+    return rows.select("doc_id", "id", T.location(F.col("source"), F.col("excerpt"), F.col("kind")).alias("location"))
+
+
+def t22_offsets(spark: SparkSession, folder: str) -> DataFrame:
+    """Lines and characters where the chunks begin, and the text around them."""
+    chunks = _table(spark, folder, "chunks").where("start_char is not null").select("read_id", "id", "start_char", "end_char").distinct()
+    rows = chunks.join(_docs(spark, folder).withColumnRenamed("doc_id", "read_id"), "read_id")
+    start = F.col("start_char").cast("int")
+    return rows.select("read_id", "id", start.alias("start_char"), T.offset_location(F.col("text"), start).alias("location"), T.around(F.col("text"), start, start + 40).alias("excerpt"))
+
+
+def t34_links(spark: SparkSession, folder: str) -> DataFrame:
+    """Links of posts to authorities, and the addresses of papers as such links."""
+    posts = _table(spark, folder, "documents").select(F.col("doc_id").cast("string").alias("doc_id"), "text")
+    papers = _papers(spark, folder).where("source_url is not null").select("doc_id", F.concat(F.lit('<a href="'), F.replace("source_url", F.lit("&"), F.lit("&amp;")), F.lit('">x</a><a href="https://dl.acm.org/?a=1&amp;b=2">')).alias("text"))
+    return posts.unionByName(papers).where("text is not null").select("doc_id", F.posexplode(T.hrefs(F.col("text"))).alias("n", "url"))
+
+
+def _title_words(spark: SparkSession, folder: str) -> DataFrame:
+    """The words of titles as mentions: term, place, and a kind of signal by the word's length."""
+    signal = F.element_at(F.array(F.lit("ner"), F.lit("noun_phrase"), F.lit("pattern")), F.length("term") % 3 + 1)
+    words = _papers(spark, folder).where("title is not null").select("doc_id", F.posexplode(F.split("title", " ")).alias("start_char", "term"))
+    return words.select("doc_id", "term", "start_char", (F.col("start_char") + F.length("term")).alias("end_char"), signal.alias("signal"), F.upper(signal).alias("entity_type"))
+
+
+def c4_ranked(spark: SparkSession, folder: str) -> DataFrame:
+    ranked = concepts.candidates(_title_words(spark, folder), top=5)
+    return ranked.select("doc_id", F.col("rank").cast("int").alias("rank"), "term", "entity_type", F.col("mentions").cast("int").alias("mentions"), "start_char", F.array_join("signals", ",").alias("signals"))
+
+
+def c2_phrases(spark: SparkSession, folder: str) -> DataFrame:
+    """The parts of titles between colons and commas as noun phrases of title and abstract."""
+    papers = _papers(spark, folder).where("title is not null")
+    docs = papers.select("doc_id", F.concat_ws(". ", "title", "abstract").alias("text"))
+    parts = papers.select("doc_id", F.posexplode(F.split("title", "[:,]")).alias("start_char", "term")).withColumn("end_char", F.col("start_char") + F.length("term"))
+    return concepts.noun_phrases(parts, docs).select("doc_id", "term", "start_char", "end_char", "signal")
+
+
+def _knowledge(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """A knowledge base made by rule from the words of titles: pages, items and links."""
+    words = _title_words(spark, folder).select(T.clean_term(F.col("term")).alias("term")).where("length(term) >= 4").select(F.lower("term").alias("term")).distinct()
+    size = F.length("term")
+    pages_ = words.select(
+        "term", F.explode(F.array(F.lit(1), F.lit(2))).alias("rank"),
+    ).select(
+        "term", "rank", F.when(F.col("rank") == 1, F.concat(F.lit("The "), "term")).otherwise(F.col("term")).alias("title"),
+        F.concat(F.lit("https://en.wikipedia.org/wiki/"), "term").alias("url"), F.concat(F.lit("Q"), F.length("term") * 10 + F.ascii("term") % 7).alias("wikidata_id"),
+        F.lit("a word").alias("description"), ((size % 5 == 0) & (F.col("rank") == 2)).alias("is_disambiguation"),
+    )
+    items = pages_.select("wikidata_id").distinct().select(
+        "wikidata_id", F.lit(None).cast("string").alias("description"),
+        F.when(F.col("wikidata_id").endswith("1"), F.array(F.concat(F.lit("https://doi.org/10/"), "wikidata_id"))).otherwise(F.array().cast("array<string>")).alias("reference_urls"),
+    )
+    refs = pages_.where("rank = 2").select("title", F.explode(F.array(F.struct(F.lit(2).alias("n"), F.lit("https://arxiv.org/a").alias("url")), F.struct(F.lit(1).alias("n"), F.lit("https://www.nature.com/b").alias("url")), F.struct(F.lit(0).alias("n"), F.lit("https://example.com/c").alias("url")))).alias("r")).select("title", "r.*").where("length(title) % 2 = 0")
+    return pages_, items, refs
+
+
+def j6_types(spark: SparkSession, folder: str) -> DataFrame:
+    """The items of the knowledge base made by rule that are of an allowed class, by id or by label."""
+    _, items, _ = _knowledge(spark, folder)
+    classes = spark.createDataFrame([("1", "Q8366"), ("1", "Q999"), ("2", "Q5"), ("3", "Q777"), ("4", "Q65943"), ("5", "Q778")], "last string, item_id string")
+    labels = spark.createDataFrame([("Q777", "physical effect"), ("Q778", "town"), ("Q5", "human"), ("Q999", "a theorem of sorts")], "item_id string, label string")
+    types = items.select("wikidata_id", F.substring("wikidata_id", -1, 1).alias("last")).join(F.broadcast(classes), "last").select("wikidata_id", "item_id")
+    return concepts.typed_items(items, types, labels).select("wikidata_id", "concept_type")
+
+
+def j5_named(spark: SparkSession, folder: str) -> DataFrame:
+    """Candidates from titles linked to the knowledge base made by rule."""
+    pages_, items, refs = _knowledge(spark, folder)
+    typed = items.withColumn("concept_type", F.lit("algorithm"))
+    linked = concepts.link(concepts.candidates(_title_words(spark, folder)), pages_, typed, refs)
+    return linked.select("doc_id", F.col("n").cast("int").alias("n"), "term", "wikidata_id", "description", F.array_join("source_urls", " ").alias("sources"), "recognition_status", F.round("confidence", 6).alias("confidence"))
+
+
+def c5_entities(spark: SparkSession, folder: str) -> DataFrame:
+    """The named concepts of every read by patterns and the knowledge base made by rule, as concept and evidence rows."""
+    pages_, items, refs = _knowledge(spark, folder)
+    docs = _docs(spark, folder)
+    mined = concepts.candidates(concepts.pattern_mentions(docs)).select(F.lower("term").alias("term")).distinct()
+    last = F.element_at(F.split("term", " "), -1)
+    own = mined.withColumn("word", last).join(pages_.withColumnRenamed("term", "word"), "word").drop("word")
+    named = concepts.named_concepts(docs, own, items.withColumn("concept_type", F.lit("algorithm")), refs)
+    return analysis.entity_rows(analysis.structure(docs), named).select("doc_id", "id", "label", "description", "evidence_id", "source_location", "wikidata_id", "confidence", F.length("excerpt").alias("n_excerpt"))
+
+
+def ov1_requests(spark: SparkSession, folder: str) -> DataFrame:
+    """The papers' addresses as requests."""
+    asked = _papers(spark, folder).select("doc_id", F.col("source_url").alias("source"), F.when(F.length("doc_id") % 2 == 0, "url").otherwise("text").alias("source_type"))
+    return analysis.validate_input(asked).select("doc_id", "status", F.col("error").isNotNull().alias("failed"))
+
+
+def od1_texts(spark: SparkSession, folder: str) -> DataFrame:
+    """The reads of each paper as its scanned documents, in the order of their keys."""
+    once = _table(spark, folder, "reads").where("doc_id is not null").groupBy("doc_id", F.col("read_id").alias("n")).agg(F.max("text").alias("source_text"), F.max("source_url").alias("u"))
+    scans = once.select("doc_id", "n", "source_text", F.when(F.col("u").isNotNull(), F.array("u", F.lit("second"))).alias("paragraphs"))
+    return analysis.documents_text(scans).select("doc_id", F.length("text").alias("n_chars"), F.md5("text").alias("digest"))
+
+
+def a8_evidence_count(spark: SparkSession, folder: str) -> DataFrame:
+    return analysis.evidence_count(_run_concepts(spark, folder)[0])
+
+
+def k4_responses(spark: SparkSession, folder: str) -> DataFrame:
+    """The responses of stored runs made again from their parts."""
+    t = shred.run_tables(_table(spark, folder, "analysis_runs"))
+    listed = lambda name, field: t[name].groupBy("run_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("ordinals", field))), lambda x: x[field]).alias(name))
+    c, e = _run_concepts(spark, folder)
+    state = t["runs"].join(listed("warnings", "warning"), "run_id", "left").join(listed("trace", "step"), "run_id", "left").select(
+        "run_id", "status", "document_format", F.col("ocr_used").cast("boolean").alias("ocr_used"), "warnings", F.array(F.lit("stored")).alias("errors"), "trace", F.col("thesis").alias("text"),
+        F.lit(1).alias("n_chunks"), F.col("rest")["usage.retries"].cast("int").alias("retry_count"), F.col("thesis").isNotNull().alias("has_analysis"),
+    )
+    out = store.responses(state, c.withColumnRenamed("doc_id", "run_id"), e.withColumnRenamed("doc_id", "run_id"))
+    return out.select("run_id", "status", "ocr_used", F.size("warnings").alias("n_warnings"), F.size("trace").alias("n_trace"), "usage.input_characters", F.round("quality.citation_coverage", 6).alias("coverage"))
+
+
+def js1_objects(spark: SparkSession, folder: str) -> DataFrame:
+    """The JSON objects in stored responses put into model outputs of several shapes."""
+    runs = store.current_runs(_table(spark, folder, "analysis_runs")).where("response_json is not null")
+    shape = F.length("run_id") + F.length("response_json")
+    fenced = F.concat(F.lit("Here it is:\n```json\n"), "response_json", F.lit("\n```"))
+    raw = F.when(shape % 3 == 0, F.to_json(F.struct(F.array(F.struct(F.col("response_json").alias("text"))).alias("content")))).when(shape % 3 == 1, F.to_json(F.struct(fenced.alias("completion")))).otherwise(
+        F.to_json(F.struct(F.struct(F.struct(F.array(F.struct(F.concat(F.lit("Sure. "), "response_json").alias("text"))).alias("content")).alias("message")).alias("output"))))
+    out = runs.select("run_id", raw.alias("raw")).select("run_id", store.provider_text(F.col("raw")).alias("said"))
+    return out.select("run_id", F.md5("said").alias("said"), F.md5(store.json_object(F.col("said"))).alias("object"))
+
+
+def js2_text(spark: SparkSession, folder: str) -> DataFrame:
+    """The texts of evidence in the shapes of several providers."""
+    e = _evidence(spark, folder).where("excerpt is not null")
+    made = [F.to_json(F.struct(F.col("excerpt").alias(n))) for n in ("completion", "generation", "outputText")]
+    made.append(F.to_json(F.struct(F.array(F.struct(F.col("excerpt").alias("outputText"))).alias("results"))))
+    shape = F.length("id") % 4
+    raw = F.coalesce(*(F.when(shape == k, m) for k, m in enumerate(made)))
+    return e.select("doc_id", "id", store.provider_text(raw).alias("text"))
+
+
+def js5_forms(spark: SparkSession, folder: str) -> DataFrame:
+    """The papers of each feed as a form's list of existing papers; feeds that began early send no list."""
+    papers = _papers(spark, folder).where("feed_id is not null")
+    listed = F.to_json(F.array_sort(F.collect_list(F.struct(F.col("doc_id").alias("id"), "title", "abstract"))))
+    forms = papers.groupBy(F.col("feed_id").alias("request_id")).agg(listed.alias("existing_papers"))
+    odd = _table(spark, folder, "feeds").where("since_year < 2000").select(F.concat(F.lit("odd-"), "feed_id").alias("request_id"), F.lit('{"id": 1}').alias("existing_papers"))
+    return store.existing_papers(forms.unionByName(odd)).select("request_id", "n", "id", "title", F.length("abstract").alias("n_chars"), F.col("error").isNotNull().alias("failed"))
+
+
+def s10_run(spark: SparkSession, folder: str) -> DataFrame:
+    """The run with the least id."""
+    runs = _table(spark, folder, "analysis_runs")
+    return store.get_run(runs, runs.agg(F.min("run_id")).first()[0]).select("run_id", F.md5(F.coalesce("response_json", F.lit(""))).alias("digest"))
+
+
+def k2_upsert(spark: SparkSession, folder: str) -> DataFrame:
+    """The stored runs with those of the newest tenth of days put in once more without text."""
+    runs = store.current_runs(_table(spark, folder, "analysis_runs"))
+    new = runs.where(F.length("response_json") > 5000).select("run_id", "created_at", F.lit("{}").alias("response_json"))
+    return store.upsert(runs, new).select("run_id", F.md5(F.coalesce("response_json", F.lit(""))).alias("digest"))
+
+
+def g4_references(spark: SparkSession, folder: str) -> DataFrame:
+    t = shred.run_tables(_table(spark, folder, "analysis_runs"))
+    urls = t["concept_urls"].groupBy("run_id", F.slice("ordinals", 1, 1).alias("ordinals")).agg(F.transform(F.array_sort(F.collect_list(F.struct(F.col("ordinals").alias("o"), "url"))), lambda x: x["url"]).alias("source_urls"))
+    rows = t["concepts"].join(urls, ["run_id", "ordinals"]).select("run_id", "ordinals", "id", F.col("rest")["wikipedia_url"].alias("wikipedia_url"), "source_urls")
+    return graph.reference_links(rows.withColumn("id", F.concat_ws("#", "id", F.col("ordinals")[0].cast("string"))), "run_id").select("run_id", "id", F.array_join("references", " ").alias("links"))
+
+
+def g5_fallback(spark: SparkSession, folder: str) -> DataFrame:
+    """The explanations of runs that have evidence for a finding, and those made for the others, under the interface's names."""
+    c, e = _run_concepts(spark, folder)
+    told = analysis.explanations(c, e)
+    some = e.where("kind = 'statistic' and confidence > 0.8").select("doc_id").distinct()
+    shown = graph.for_interface(graph.with_fallback(c, told.join(some, "doc_id", "left_semi")))
+    return shown.select("doc_id", "conceptId", "supportStatus", "paperContext", F.array_join("limitations", " ").alias("limits"))
+
+
+def w12_shown(spark: SparkSession, folder: str) -> DataFrame:
+    t = shred.run_tables(_table(spark, folder, "analysis_runs"))
+    at = F.col("ordinals")[0].alias("pos")
+    c, e = _run_concepts(spark, folder)
+    first = graph.first_shown(c.withColumn("pos", F.col("ordinals")[0]), t["relationships"].select(F.col("run_id").alias("doc_id"), at, "explanation"), analysis.explanations(c, e))
+    return first.select("doc_id", "selected", "relationship", "limitation")
+
+
+def st2_traces(spark: SparkSession, folder: str) -> DataFrame:
+    """The stored traces as events, folded again."""
+    t = shred.run_tables(_table(spark, folder, "analysis_runs"))["trace"]
+    events = t.select("run_id", F.col("ordinals")[0].alias("seq"), F.concat(F.lit("step "), F.col("ordinals")[0].cast("string")).alias("node"), F.lit("running").alias("status"), F.array("step").alias("trace"))
+    return store.fold_states(events).select("run_id", "node", F.size("trace").alias("n_trace"), F.md5(F.array_join("trace", "|")).alias("digest"))
+
+
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     return shred.run_elements(_table(spark, folder, "analysis_runs"))
 
@@ -283,6 +552,8 @@ def p5_tables(spark: SparkSession, folder: str) -> DataFrame:
 
 
 _QUERIES = (
+    s1_texts, s4_pdf_reads, s6_uploads, s7_page_paragraphs, s8_scans, s9_urls, s10_run, k2_upsert, k4_responses, t7_page_text, l1_pdf_links, t21_locations, t22_offsets, t34_links,
+    c2_phrases, c4_ranked, c5_entities, j2_injected, j5_named, j6_types, ov1_requests, ov2_injected, od1_texts, a8_evidence_count, js1_objects, js2_text, js5_forms, g4_references, g5_fallback, w12_shown, st2_traces,
     t1_body_lines, t1_body_text, t3_edge_keys, t4_t8_flags, t9_paragraphs, t10_chunks, t11_compact, t13_sentences, t14_t15_titles, t16_search,
     t17_t20_labels, t23_terms, t24_relationship, t26_anchored, t26_read_anchored, t27_t33_addresses, t29_terms, c3_candidates, w1_best, ox1_concepts, ox1_evidence,
     os1_summaries, j1_links, j2_dangling, oe1_explanations, ov2_violations, ov2_paper_violations, a5_quality, oc1_compare, g1_nodes, g2_edges, g3_cards, k1_current,
