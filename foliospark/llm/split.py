@@ -179,7 +179,6 @@ def split_chunks(chunks: DataFrame, reads: DataFrame, limit: int = LIMIT, overla
     )
     source = (
         likely_in(reads.select(F.col("read_id").alias("__read"), F.col("text").alias("__source")), "__read", big.select("__read"))
-        .join(big.select("__read").distinct(), "__read", "left_semi")
         .groupBy("__read")
         .agg(F.max("__source").alias("__source"))
     )
