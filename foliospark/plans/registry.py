@@ -214,10 +214,10 @@ def ov2_violations(spark: SparkSession, folder: str) -> DataFrame:
 
 def _spoiled(c: DataFrame, e: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Concepts and evidence with a fault put in by kind: concepts of findings name evidence that isn't there, those of
-    metrics none; excerpts of data sets are invented, statistics stand twice, methods' ids are their experiments'."""
+    metrics none; excerpts of contexts are invented, statistics stand twice, methods' ids are their experiments'."""
     ids = F.when(F.col("kind") == "finding", F.concat("evidence_ids", F.array(F.lit("evidence-none")))).when(F.col("kind") == "metric", F.array().cast("array<string>")).otherwise(F.col("evidence_ids"))
     concepts_ = c.withColumn("evidence_ids", ids).withColumn("id", F.when(F.col("kind") == "method", "experiment").otherwise(F.col("id")))
-    pieces = e.withColumn("excerpt", F.when(F.col("kind") == "dataset", "Nobody wrote this sentence.").otherwise(F.col("excerpt")))
+    pieces = e.withColumn("excerpt", F.when(F.col("kind") == "context", "Nobody wrote this sentence.").otherwise(F.col("excerpt")))
     return concepts_, pieces.unionByName(pieces.where("kind = 'statistic'"))
 
 
@@ -231,7 +231,8 @@ def ov2_injected(spark: SparkSession, folder: str) -> DataFrame:
     bad, pieces = _spoiled(c, e)
     texts = e.groupBy("doc_id").agg(F.array_join(F.array_sort(F.collect_set("excerpt")), " ").alias("text"))
     one = lambda c_, e_: analysis.violations(c_, e_, texts)
-    return one(bad, pieces).unionByName(one(bad, e)).unionByName(one(c, pieces.dropDuplicates(["doc_id", "id"]))).distinct()
+    held = c.where(F.size("evidence_ids") > 0)
+    return one(bad, pieces).unionByName(one(bad, e)).unionByName(one(c, e)).unionByName(one(held, pieces.dropDuplicates(["doc_id", "id"]))).distinct()
 
 
 def ov2_paper_violations(spark: SparkSession, folder: str) -> DataFrame:

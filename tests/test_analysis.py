@@ -44,7 +44,7 @@ def test_explanations_and_checks(spark):
     assert rows["b"]["support_status"] == rows["c"]["support_status"] == "unsupported" and rows["b"]["score"] == 0.0
     assert [tuple(r) for r in analysis.dangling(c, e).collect()] == [("d", "c", "gone")]
     docs = spark.createDataFrame([("d", "text one and text two")], "doc_id string, text string")
-    assert [tuple(r) for r in analysis.violations(c, e, docs).collect()] == [("d", 2, "gone")]
+    assert [tuple(r) for r in analysis.violations(c, e, docs).collect()] == [("d", 3, "gone")]
     q = analysis.quality(c, e).first()
     assert (round(q["citation_coverage"], 4), q["location_coverage"]) == (0.6667, 0.5)
 

@@ -19,6 +19,45 @@ def test_links_and_choice(spark):
     assert chosen == {1: ("https://h.org/b.pdf", "pdf"), 3: ("https://h.org/r", "html")}
 
 
+def test_main_containers_and_points():
+    assert pages.visible_text('<div class="content-sidebar">Ads</div><div id="abstract">The abstract</div>') == "The abstract"
+    assert pages.visible_text('<div class="full-text">a</div><p>b</p></span>') == "a" and pages.visible_text("<p>a</b>c</p>d") == "acd"
+    assert pages.visible_text("<![foo[bar") is None and pages.pdf_links("<![foo[bar", "https://h.org/") == [] and pages.pdf_links(None, None) == []
+    html = '<meta name="citation_pdf_url" content="/a.pdf"><link rel=alternate type=application/pdf href="/b.pdf"><a rel=alternate type=application/pdf href="/b.pdf">x</a>'
+    assert pages.pdf_links(html, "https://h.org/p") == [("https://h.org/a.pdf", 305), ("https://h.org/b.pdf", 205)]
+    assert pages.pdf_links('<div data-x="https://h.org/d.pdf"></div><img data-src="https://h.org/e.pdf"/>', "https://q.org/") == [("https://h.org/e.pdf", 80)]
+    assert len(pages.pdf_links("".join(f'<a href="/{k}.pdf">x</a>' for k in range(12)), "https://h.org/")) == 8
+
+
+def test_composed_addresses(spark):
+    page = b'<html><body><a href="/a.pdf">x</a><a href="/b.pdf">y</a><main><p>Words of the page.</p></main></body></html>'
+    landed = [("https://h.org/p", 200, "text/html", page), ("https://h.org/q", 200, "text/html", page.replace(b"/b.pdf", b"/c.pdf").replace(b"/a.pdf", b"/d.pdf")), ("https://h.org/a.pdf", 200, "text/html", b"<p>login</p>"),
+              ("https://h.org/b.pdf", 200, "application/pdf", b"%PDF-1"), ("https://h.org/e", 200, "text/html", b"Please enable JavaScript"), ("https://h.org/t", 200, "text/plain", b"Plain text.\nReferences\ngone"), ("https://h.org/down", 503, "", b"")]
+    asked = ["https://h.org/p", "https://h.org/q", "https://h.org/b.pdf", "https://h.org/e", "https://h.org/t", "https://h.org/down", "https://h.org/none", "not-a-url"]
+    texts = spark.createDataFrame([("https://h.org/b.pdf", 1, "", "Scanned words of the file")], "url string, page_no int, text string, ocr_text string")
+    read = documents.read_urls(spark.createDataFrame([(u,) for u in asked], "url string"), spark.createDataFrame(landed, "url string, status int, content_type string, body binary"), texts)
+    rows = {r["url"]: (r["text"], r["source_url"], r["format"], r["ocr_used"], len(r["warnings"]), r["error"] is not None) for r in read.collect()}
+    assert rows["https://h.org/p"] == ("Scanned words of the file", "https://h.org/b.pdf", "pdf", True, 0, False)
+    assert rows["https://h.org/b.pdf"] == ("Scanned words of the file", "https://h.org/b.pdf", "pdf", True, 0, False)
+    assert rows["https://h.org/q"] == ("Words of the page.", "https://h.org/q", "html", False, 1, False)
+    assert rows["https://h.org/t"] == ("Plain text.", "https://h.org/t", "text", False, 0, False)
+    assert all(rows[u][0] is None and rows[u][5] for u in ("https://h.org/e", "https://h.org/down", "https://h.org/none", "not-a-url"))
+
+
+def test_long_bodies_are_refused_before_they_are_read(spark):
+    def get(url):
+        def parts():
+            for k in range(1000):
+                if k > 60:
+                    raise AssertionError("read beyond the bound")
+                yield b"x" * (1 << 20)
+
+        return 200, "text/html", parts()
+
+    row = documents.fetch(spark.createDataFrame([("u",)], "url string"), get, wait=lambda s: None).first()
+    assert (row["status"], row["body"], row["tries"]) == (413, None, 1)
+
+
 def test_fetch_retries(spark):
     def get(url):
         if url == "down":

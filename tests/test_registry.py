@@ -10,8 +10,8 @@ AT = datetime.datetime(2024, 1, 1)
 
 
 def run(evidence, title="Gauges and rain", url=None):
-    concepts = [{"id": "thesis", "evidence_ids": [e for e, _ in evidence]}]
-    return json.dumps({"paper": {"title": title, "source_url": url}, "concepts": concepts, "evidence": [{"id": e, "excerpt": x} for e, x in evidence]})
+    concepts = [{"id": "thesis", "label": "l", "kind": "thesis", "confidence": 0.5, "evidence_ids": [e for e, _ in evidence]}]
+    return json.dumps({"paper": {"title": title, "source_url": url}, "concepts": concepts, "evidence": [{"id": e, "claim": "c", "kind": "quote", "confidence": 0.5, "excerpt": x} for e, x in evidence]})
 
 
 def folder(spark, tmp_path):
@@ -53,7 +53,7 @@ def test_evidence_and_concepts_are_looked_for_in_the_reads(spark, tmp_path):
     anchored = {tuple(r) for r in known["t26_read_anchored"](spark, at).collect()}
     assert anchored == {("p", 3, 1), ("q", 1, 0), ("r", 1, 0)}
     broken = {tuple(r) for r in known["ov2_paper_violations"](spark, at).collect()}
-    assert broken == {("bad", 4, "b"), ("other", 4, "a"), ("nameless", 4, "a")}
+    assert broken == {("bad", 5, "b"), ("other", 5, "a"), ("nameless", 5, "a")}
     found = {(r["doc_id"], r["read_id"], r["term"], r["start_char"]) for r in known["c3_candidates"](spark, at).collect()}
     kriging = next(x for x in found if x[:2] == ("p", 2))
     assert "kriging model" in kriging[2] and TEXT[kriging[3] :].startswith(kriging[2].split()[0])

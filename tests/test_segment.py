@@ -1,4 +1,7 @@
 import random
+import re
+
+from pyspark.sql import functions as F
 
 from foliospark.operators import segment
 
@@ -36,7 +39,7 @@ def brute_chunks(text, limit, overlap):
             blank, stop = window.rfind("\n\n"), window.rfind(". ")
             if max(blank, stop) >= limit // 2:
                 end = at + (blank if blank >= stop else stop + 2)
-        out.append((at, end, text[at:end].strip()))
+        out.append((at, end, text[at:end].strip() if len(text) > limit else text))
         if end >= len(text):
             return out
         at = max(end - overlap, at + 1)
@@ -65,3 +68,58 @@ def test_sentences_carry_sections(spark):
         ("s", "opening", "Tiny."),
         ("s", "opening", "Text"),
     ]
+
+
+def test_any_line_break_ends_a_line(spark):
+    text = "First words here.\rSecond words here.\x0cThird words here.\u2028Fourth\u00a0words here.\x85Fifth words here."
+    lines = segment.body_lines(spark.createDataFrame([("d", 1, text)], "doc_id string, page_no int, text string")).orderBy("pos").collect()
+    assert [r["line"] for r in lines] == ["First words here.", "Second words here.", "Third words here.", "Fourth words here.", "Fifth words here."]
+
+
+def test_spans_against_plain_python(spark):
+    rng = random.Random(3)
+    texts = ["".join(rng.choice(["word ", "end. ", "\n", "\n\n", " \n \t\n\n", "split-\nword ", "x" * 50, "\r\n"]) for _ in range(rng.randrange(0, 400))) for _ in range(60)] + ["", "  ", "a" * 9000, "\n\n\n"]
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(texts)] + [(900, None)], "doc_id int, text string")
+    got = {}
+    for r in segment.chunks(docs, limit=400, overlap=60).collect():
+        got.setdefault(r["doc_id"], []).append((r["index"], r["text"], r["start_char"], r["end_char"]))
+    for k, t in enumerate(texts):
+        want, start = [], 0
+        while start < len(t) and t.strip():
+            end = min(len(t), start + 400)
+            window = t[start:end]
+            if end < len(t):
+                cut = max(window.rfind("\n\n", 200), window.rfind(". ", 200))
+                end = end if cut < 1 else start + cut + 2 * (window[cut] == ".")
+            piece = t if len(t) <= 400 else t[start:end].strip()
+            if piece.strip():
+                want.append((len(want), piece, start, end))
+            if end >= len(t):
+                break
+            start = max(end - 60, start + 1)
+        assert got.get(k, []) == want
+    spans = {}
+    for r in segment.paragraphs(docs).collect():
+        spans.setdefault(r["doc_id"], []).append(r)
+    for k, rows in spans.items():
+        source = texts[k].replace("\r\n", "\n").replace("\r", "\n")
+        for r in rows:
+            part = source[r["start_char"] : r["end_char"]]
+            assert r["text"] == " ".join(re.sub(r"(?<=\w)-[ \t]*\n[ \t]*(?=\w)", "", part).split())
+            assert r["start_char"] == 0 or source[r["start_char"] - 1] == "\n"
+    assert 900 not in spans and segment.paragraphs(docs.limit(0)).count() == 0
+
+
+def test_one_text_of_very_many_paragraphs(spark):
+    text = "\n\n".join(f"Paragraph number {k} has words." for k in range(20_000))
+    docs = spark.createDataFrame([("d", text)], "doc_id string, text string")
+    last = segment.paragraphs(docs).orderBy(F.desc("index")).first()
+    assert (last["index"], last["id"], last["end_char"]) == (19_999, "paragraph-19999", len(text))
+
+
+def test_paragraphs_across_pages_and_scans(spark):
+    pages = spark.createDataFrame([("d", 1, "One.\n\nTwo.", None), ("d", 2, "  ", "Three by\nOCR."), ("d", 3, "Four.", "ignored"), ("e", 1, None, None)], "doc_id string, page_no int, text string, scan string")
+    rows = [(r["doc_id"], r["id"], r["page_number"], r["text"], r["start_char"]) for r in segment.page_paragraphs(pages, ocr="scan").orderBy("doc_id", "index").collect()]
+    assert rows == [("d", "paragraph-0000", 1, "One.", 0), ("d", "paragraph-0001", 1, "Two.", 6), ("d", "paragraph-0002", 2, "Three by OCR.", 0), ("d", "paragraph-0003", 3, "Four.", 0)]
+    scans = {r["doc_id"]: (r["text"], r["n_paragraphs"], r["error"] is not None) for r in segment.scan_texts(spark.createDataFrame([("a", "x\ny\n\nz"), ("b", " "), ("c", None)], "doc_id string, text string")).collect()}
+    assert scans == {"a": ("x y\n\nz", 2, False), "b": (None, 0, True), "c": (None, 0, True)}
