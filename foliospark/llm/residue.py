@@ -5,8 +5,8 @@ likelihood of each kind. Windows of residue and of natural text are weighed by t
 residue if it has residue and hardly any natural text; furniture counts for neither, so a page that
 carries a notice next to a paper stays.
 
-All three models are learned from the corpus. Natural text is the prose of texts with a body, furniture
-their short lines. Residue is what stands where no body is: lines that occur, but for their numbers, in
+All three models are learned from the corpus. Natural text is the prose of texts, furniture their short
+lines, and those of texts with a body tell most. Residue is what stands where no body is: lines that occur, but for their numbers, in
 several unrelated papers and mostly in reads without natural text, and then what else the texts hold that
 these lines give away. A few wordings of a general kind start it off in small corpora.
 """
@@ -32,8 +32,10 @@ WINDOW_BYTES = 160
 COVERAGE = 0.5
 #: Lines of so many bytes are prose, shorter ones may be headings and furniture.
 PROSE_BYTES = 45
-#: Texts with so many bytes of prose have a body, from which natural text and furniture are learned.
-BODY_BYTES = 1_600
+#: Texts with so many bytes of prose have a body, from which natural text and furniture are learned; others count so much.
+BODY_BYTES, BODILESS = 1_600, 0.05
+#: Texts that a task remembers to have counted.
+MOST_SEEN = 1_000_000
 #: Texts with less natural text than this may be residue, and are looked through for wordings that repeat.
 BARE_BYTES = 300
 #: A line of residue occurs in so many papers, and so many times as often in reads without natural text as in others.
@@ -93,6 +95,7 @@ class Model:
         counts = np.stack([natural, residue, furniture], axis=1) + 0.02
         seen = (counts >= 1).any(axis=1, keepdims=True)
         table = np.log(counts / counts.sum(axis=0))
+        table[:, np.array([natural.sum(), residue.sum(), furniture.sum()]) < 1] = -50.0  # a kind of which nothing is known
         # one n-gram alone decides nothing: its weight is bounded, and one never seen has none
         table = np.where(seen, np.maximum(table - table.max(axis=1, keepdims=True), -4.0), 0.0)
         # the three weights in 1/256 as parts of one integer, so that a window's are summed at once
@@ -152,24 +155,29 @@ def repeated(data: np.ndarray, code: np.ndarray, begin: np.ndarray, end: np.ndar
 
 
 def _bodies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Bucket counts of the prose and of the short lines of a task's texts with a body."""
-    counts = np.zeros((2, 1 << BITS), np.int64)
+    """Bucket counts of the prose and of the short lines of a task's texts, those without a body at a lower weight.
+    Equal texts count once a task."""
+    counts = np.zeros((2, 1 << BITS))
+    done: set[int] = set()
     for part in slices(batches, "__text"):
-        data, offsets = span(part.column("__text"))
+        codes = part.column("__code").to_pylist()
+        fresh = [i for i, c in enumerate(codes) if c not in done and not done.add(c)]
+        if len(done) > MOST_SEEN:
+            done.clear()
+        data, offsets = span(part.column("__text").take(pa.array(fresh, pa.int32())))
         starts, ends, rows = line_starts(data, offsets)
         size = ends - starts
         prose = size >= PROSE_BYTES
         body = np.bincount(rows[prose], size[prose], minlength=len(offsets) - 1) >= BODY_BYTES
-        kind = np.where(body[rows], np.where(prose, 1, 2), 0).astype(np.int8)
+        kind = np.where(prose, 1, 2) + np.where(body[rows], 0, 2)
         # each byte has its line's kind; line breaks between them have none
-        of = np.zeros(len(data), np.int8)
         step = np.zeros(len(data) + 1, np.int8)
-        np.add.at(step, starts, kind)
-        np.subtract.at(step, ends, kind)
+        np.add.at(step, starts, kind.astype(np.int8))
+        np.subtract.at(step, ends, kind.astype(np.int8))
         of = np.cumsum(step[:-1], dtype=np.int8)
         code = hashes(fold(data), ORDER, BITS)
-        for k in (1, 2):
-            counts[k - 1] += np.bincount(code[of == k], minlength=1 << BITS)
+        for k in (1, 2, 3, 4):
+            counts[(k - 1) % 2] += np.bincount(code[of == k], minlength=1 << BITS) * (1.0 if k < 3 else BODILESS)
     seen = np.flatnonzero(counts.any(axis=0))
     yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(counts[0, seen]), pa.array(counts[1, seen])], ["bucket", "natural", "furniture"])
 
@@ -260,7 +268,7 @@ def fit(reads: DataFrame, text: str = "text", doc: str = "doc_id", seeds: str =
     context = reads.sparkSession.sparkContext
     of = F.xxhash64(F.coalesce(F.col(doc).cast("string"), F.col(text)) if doc in reads.columns else F.col(text))
     texts = reads.select(of.alias("__of"), F.col(text).alias("__text")).where(F.length("__text") > 0)
-    natural, furniture = totals(texts.select("__text").mapInArrow(_bodies, "bucket bigint, natural bigint, furniture bigint"), BITS)
+    natural, furniture = totals(texts.select("__text", F.xxhash64("__text").alias("__code")).mapInArrow(_bodies, "bucket bigint, natural double, furniture double"), BITS)
     start = 3 * seed_counts(seeds)
     model = Model(natural, start, furniture)
     seen = durable(texts.mapInArrow(_bare(context.broadcast(model)), "line bigint, n bigint, of bigint, text string"))
