@@ -67,3 +67,33 @@ def test_neighbours_share_a_container():
     container, _ = packing.fill(np.full(16, 12), terms, np.arange(0, 193, 12), 48)
     for c in range(4):
         assert len({i % 2 for i in np.flatnonzero(container == c)}) == 1
+
+
+def test_scores_are_those_of_plain_bm25():
+    rng = np.random.default_rng(4)
+    items = [rng.integers(0, 60, rng.integers(1, 40)) for _ in range(300)]
+    sizes = np.array([len(x) for x in items])
+    index = packing.Index(sizes, np.concatenate(items), np.concatenate([[0], np.cumsum(sizes)]))
+    index.prepare(np.arange(0, 300, 7))
+    df = {t: sum(t in x for x in map(set, map(np.ndarray.tolist, items))) for t in range(60)}
+    for seed in (0, 7, 11, 299):
+        got = dict(zip(*map(np.ndarray.tolist, index.neighbours(seed))))
+        for i, x in enumerate(items):
+            want = 0.0
+            for t in set(items[seed].tolist()):
+                tf = int((x == t).sum())
+                want += np.log1p((300 - df[t] + 0.5) / (df[t] + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(x) / sizes.mean()))
+            assert abs(got.get(i, 0.0) - want) < 1e-3
+
+
+def test_neighbours_share_a_shard(spark):
+    rng = random.Random(6)
+    topics = [[f"{a}{k}word" for k in range(40)] for a in "abcdefgh"]
+    rows = [(i, " ".join(rng.choice(topics[i % 8]) for _ in range(30))) for i in range(800)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    placed = packing.pack(docs, capacity=1200, shard_items=200).collect()
+    shards = {r["doc_id"]: r["container"].split("-")[1] for r in placed}
+    assert len(set(shards.values())) >= 4
+    # the neighbours of a document are those of its topic
+    together = sum(shards[i] == shards[j] for i in range(0, 800, 50) for j in range(800) if i != j and i % 8 == j % 8)
+    assert together >= 0.9 * sum(1 for i in range(0, 800, 50) for j in range(800) if i != j and i % 8 == j % 8)

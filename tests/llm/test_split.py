@@ -44,3 +44,11 @@ def test_tables(spark):
         source = "Head. " + long if r["located"] else long
         assert source[r["start_char"] : r["end_char"]] == r["text"] and r["located"] == (r["read_id"] == 1)
     assert split.split_chunks(chunks.limit(0), reads).count() == 0
+
+
+def test_likely_rows_lose_no_key(spark):
+    keys = spark.createDataFrame([(k * 7919,) for k in range(500)], "k long")
+    rows = spark.createDataFrame([(k, "t") for k in range(0, 7919 * 500, 131)] + [(k * 7919, "t") for k in range(500)], "read_id long, text string")
+    found = {r["read_id"] for r in split.likely_in(rows, "read_id", keys).collect()}
+    assert {k * 7919 for k in range(500)} <= found and len(found) < 500 + 20
+    assert split.likely_in(rows, "read_id", keys.limit(0)).count() == 0

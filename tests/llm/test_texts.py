@@ -156,6 +156,81 @@ def test_page_numbers(line, is_number):
     assert scans.is_page_number(line) is is_number
 
 
+WORDS = {w: n for w, n in zip("the of valley network protocol measurements measure was held fixed in we recorded rain seed bank and modern".split(),
+                              [9000, 8000, 900, 800, 700, 600, 500, 4000, 600, 500, 7000, 3000, 2500, 800, 700, 600, 8000, 300])}
+
+
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [("the networkprotocol was held", "the network protocol was held"), ("in the val ley we recorded", "in the valley we recorded"), ("measure ments of rain", "measurements of rain"),
+     ("rnea surements of rain", "measurements of rain"), ("held in thevalley, and the net work, was", "held in the valley, and the network, was"),
+     ("Ostander and Velquist recorded", "Ostander and Velquist recorded"), ("seed bank of the valley", "seed bank of the valley"), ("", ""), ("  ", "  ")],
+)
+def test_the_stream_is_segmented_anew(text, want):
+    assert scans.Words(WORDS).stream(text) == want
+
+
+def test_decoding_has_no_bound_on_length():
+    long = "pneumono" + "ultra" * 20 + "rnicro"
+    words = scans.Words({**WORDS, long.replace("rn", "m"): 50})
+    assert words.decode(long) == (long.replace("rn", "m"), "letter") and words.decode("x" * 5000) is None
+    assert words.decode("valley/rnodern") == ("valley/modern", "letter") and words.decode("https://rnodern.org") is None
+    rest = np.zeros(1 << scans.REST_BITS, np.float32)
+    rest[scans.rest_bucket("rnodern")] = 40
+    assert scans.Words(WORDS).decode("rnodern") == ("modern", "letter") and scans.Words(WORDS, rest).decode("rnodern") is None  # a word of its own among the rare ones
+
+
+def test_paragraph_breaks_against_plain_dynamic_programming():
+    lines = [f"We recorded the rain every few minutes because the valley was held at {i}" for i in range(200)]
+    assert [len(p) for p in scans.paragraphs(list(enumerate(lines)), lines)] == [200]
+    rng = np.random.default_rng(1)
+    for _ in range(20):
+        lines = [str(rng.choice(["a line that ends here.", "a line that runs on and", "", "Short", "A line that begins a sentence and goes on for a while", "12 13 14"])) for _ in range(rng.integers(1, 90))]
+        parts = [(i, x) for i, x in enumerate(lines) if x]
+        groups = scans.paragraphs(parts, lines)
+        assert [x for g in groups for x in g] == [x for _, x in parts]
+
+
+def test_residue_without_any_seed(spark):
+    notice = ["The vault is shut for the night", "Nothing stands under this number"]
+    rows = [(k, f"d{k}", prose(30, k) + "\nArchive\nHelp") for k in range(30)] + [(100 + k, f"n{k}", notice[k % 2] + f" {k}\nArchive\nHelp") for k in range(12)]
+    rows += [(200 + k, "same", "One short line of a paper that came often") for k in range(9)] + [(300, "q", prose(30, 99) + "\n" + notice[0])]
+    reads = spark.createDataFrame(rows, "read_id long, doc_id string, text string")
+    flags = {r["read_id"] for r in residue.flag_residue(reads, model=residue.fit(reads, seeds="x")).where("residue").collect()}
+    assert flags == set(range(100, 112))
+
+
+def test_counts_of_contexts_are_exact(spark):
+    texts = [prose(3, k) for k in range(40)] + ["", "水位变化。观测", "x"]
+    values = spark.createDataFrame([(t,) for t in texts], "__text string")
+    every, ends = {}, {}
+    for t in texts:
+        contexts = truncation.Contexts(pa.array([t]))
+        data = bytes(contexts.data)
+        for order in truncation.ORDERS:
+            for i in range(1, len(data) + 1):
+                key = (order, data[max(0, i - order) : i])
+                every[key] = every.get(key, 0) + 1
+                ends[key] = ends.get(key, 0) + (i == len(data) or bool(contexts.end[i]))
+    tails = truncation.Tails(texts)
+    codes = np.unique(np.concatenate([tails.contexts.tails(o) for o in truncation.ORDERS])).view(np.int64)
+    words = truncation.wanted_set(spark.createDataFrame([(int(c),) for c in codes], "code long"))
+    counted = {r["code"]: (r["every"], r["ends"]) for r in truncation.count_ends(values, words).collect()}
+    for order in truncation.ORDERS:
+        for t, code in zip(texts, tails.contexts.tails(order).view(np.int64).tolist()):
+            data = bytes(truncation.Contexts(pa.array([t])).data)
+            if data:
+                key = (order, data[-order:])
+                assert counted[code] == (every[key], ends[key])
+
+
+def test_languages():
+    from foliospark.llm.language import language
+
+    assert language("Die Messung der Pegel ist nicht mit dem Netz verbunden") == "de" and language("we measured the depth of the river and the flow") == "en"
+    assert language("水位变化") == "cjk" and language("уровень воды") == "cyrillic" and language("12 34") == "none"
+
+
 def test_reading(spark):
     easy = "The cat sat on the mat. It was a big cat. I like the cat. We ran to the car. "
     hard = "Notwithstanding considerable epistemological reservations, the institutionalisation of methodological individualism presupposes a comprehensive reconceptualisation of jurisdictional subsidiarity. "
