@@ -106,6 +106,11 @@ MORE: dict[str, str] = {
        CASE WHEN g.d IS NULL THEN 'No evidence was linked; verify this concept against the paper or cited literature.' WHEN located THEN 'Source locations are recorded for the linked evidence.' ELSE 'One or more linked evidence items lack a precise source location.' END
        || ' This assesses evidence support, not whether the paper''s claim is universally true.' AS limits FROM c LEFT JOIN g ON g.doc_id = c.doc_id AND g.concept_id = c.id WHERE c.doc_id IN (SELECT doc_id FROM told)
       UNION ALL SELECT doc_id, id, 'unsupported', 'No supporting evidence was extracted for this concept.', 'Verify this concept against the paper or cited literature.' FROM c WHERE doc_id NOT IN (SELECT doc_id FROM told)""",
+    "w12_shown": f"""WITH {CONCEPTS}, rs AS {elements('o', 'run_id', 'runs', '$.relationships')}, f AS (SELECT doc_id, arg_min(id, n) AS selected FROM c GROUP BY doc_id),
+      r AS (SELECT run_id AS doc_id, arg_min(x ->> '$.explanation', n) AS told FROM rs GROUP BY run_id), g AS (SELECT doc_id, concept_id, bool_and(coalesce(length(el) > 0, false)) AS located FROM li WHERE there GROUP BY 1, 2)
+      SELECT f.doc_id, coalesce(selected, 'thesis') AS selected, coalesce(nullif(told, ''), 'No strong overlap found yet. Add another paper to discover a connection.') AS relationship,
+      CASE WHEN located IS NULL THEN 'No evidence was linked; verify this concept against the paper or cited literature.' WHEN located THEN 'Source locations are recorded for the linked evidence.' ELSE 'One or more linked evidence items lack a precise source location.' END AS limitation
+      FROM f LEFT JOIN r ON r.doc_id = f.doc_id LEFT JOIN g ON g.doc_id = f.doc_id AND g.concept_id = f.selected""",
     "st2_traces": f"""WITH {JSON_RUNS}, ts AS {elements('o', 'run_id', 'runs', '$.trace')} SELECT run_id, 'step ' || max(n) AS node, CAST(count(*) AS INT) AS n_trace, md5(string_agg(x ->> '$', '|' ORDER BY n)) AS digest FROM ts GROUP BY run_id""",
     "g3_cards": f"WITH {PAPERS} SELECT doc_id, title, CASE WHEN len(authors) > 0 THEN array_to_string(authors, ', ') ELSE 'Imported document' END AS authors, coalesce(CAST(\"year\" AS VARCHAR), '—') AS \"year\" FROM pp",
     "g1_nodes": f"""WITH {CONCEPTS}, nd AS (SELECT DISTINCT doc_id, id, kind FROM c), nn AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY id) - 1 AS i, row_number() OVER (PARTITION BY doc_id, kind = 'concept' ORDER BY id) - 1 AS k FROM nd)
