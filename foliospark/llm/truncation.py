@@ -4,7 +4,7 @@ A backward character n-gram model, counted over every text of the corpus, gives
 of a text how often they are followed by an end (a stop, the end of a block, the end of a value) and how
 often the text goes on. Contexts of several lengths are interpolated, the longest last. A text is cut if
 the log-odds of going on pass a threshold set for its language and column, which parts the corpus's own
-ends from texts cut on purpose. Counts are keyed by the contexts' 64-bit hashes, so none is lost to
+ends from the same texts cut on purpose. Counts are keyed by the contexts' 64-bit hashes, so none is lost to
 another however large the corpus; only contexts at which some text ends are counted.
 """
 
@@ -37,8 +37,8 @@ SHRINK = 2.0
 PRIOR_END, PRIOR_STOPPED, PRIOR_OPEN = 0.05, 0.9, 0.2
 #: Bound of the log-odds that a beginning gives.
 HEAD_WEIGHT = 4.0
-#: Values cut on purpose, over all columns, picked by hash; and the least characters that such a cut leaves.
-SAMPLE_CUTS, LEAST_CUT = 20_000, 20
+#: Characters that a cut made on purpose leaves at least; every longer value is cut so once.
+LEAST_CUT = 20
 #: Weight of a column's ends in the threshold of one of its languages, and of all columns' in a column's, in values.
 POOLED = 300
 #: Steps of the odds for thresholds, their width and their first.
@@ -348,16 +348,14 @@ def judge_ends(evidence: DataFrame, reads: DataFrame) -> DataFrame:
     log_odds, cut.
 
     Null, empty and blank texts aren't cut; nor are reads that are residue as a whole. Repeated rows are
-    judged each time and alike. A mark of a cut decides where the odds are in doubt.
+    judged each time and alike. A mark of a cut decides where the odds are in doubt. Each value is also cut
+    on purpose, at a place given by its key's hash, so the thresholds are of all values.
     """
     context = evidence.sparkSession.sparkContext
     of_residue = context.broadcast(residue.fit(reads))
     keys = ["origin", "doc_id", "item_id", "feed_id"]
     left = evidence.select(F.lit("evidence").alias("origin"), "doc_id", F.col("id").alias("item_id"), "feed_id", F.col("excerpt").alias("__text"))
     right = reads.select(F.lit("reads").alias("origin"), "doc_id", F.col("read_id").cast("string").alias("item_id"), "feed_id", F.col("text").alias("__text"))
-    rows = evidence.count() + reads.count()
-    of_all = 1 << 20
-    share = min(of_all, of_all * SAMPLE_CUTS // max(1, rows))
 
     def run(column: str):
         def inner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -365,15 +363,16 @@ def judge_ends(evidence: DataFrame, reads: DataFrame) -> DataFrame:
                 texts = part.column("__text").to_pylist()
                 bad = of_residue.value.residue(part.column("__text")) if column == "reads" else np.zeros(len(texts), bool)
                 pick = part.column("__pick").to_pylist()
-                cut = [i for i, (t, h) in enumerate(zip(texts, pick)) if h % of_all < share and len(t or "") > LEAST_CUT and not bad[i]]
+                cut = [i for i, t in enumerate(texts) if len(t or "") > LEAST_CUT and not bad[i]]
                 shorter = [texts[i][: LEAST_CUT + (pick[i] >> 20) % (len(texts[i]) - LEAST_CUT)] for i in cut]
                 tails = Tails(texts + shorter)
                 codes, short = tails.slots()
                 at = pa.array([*range(len(texts)), *cut], pa.int32())
                 synthetic = np.arange(len(at)) >= len(texts)
+                own = pa.array([*range(len(texts)), *[None] * len(cut)], pa.int32())  # cuts have no key
                 yield pa.RecordBatch.from_arrays(
                     [
-                        *(part.column(k).take(at) for k in keys), *(pa.array(c.view(np.int64)) for c in codes), pa.array(short), pa.array(tails.stopped),
+                        part.column("origin").take(at), *(part.column(k).take(own) for k in keys[1:]), *(pa.array(c.view(np.int64)) for c in codes), pa.array(short), pa.array(tails.stopped),
                         pa.array([language(t) for t in tails.texts]), pa.array(tails.marked & ~synthetic),
                         pa.array(tails.filled & ~bad[at.to_numpy()]), pa.array(synthetic),
                     ],

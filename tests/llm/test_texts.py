@@ -117,6 +117,18 @@ def test_truncation(spark):
     assert truncation.judge_ends(evidence.limit(0), reads.limit(0)).count() == 0
 
 
+def test_every_value_is_cut_on_purpose(spark, monkeypatch):
+    monkeypatch.setattr(truncation, "SAMPLE_CUTS", 5, raising=False)  # a bound on the number of cuts must have no effect
+    seen = []
+    limits = truncation._limits
+    monkeypatch.setattr(truncation, "_limits", lambda judged: seen.append({(r["origin"], r["synthetic"]): r["count"] for r in judged.where("eligible").groupBy("origin", "synthetic").count().collect()}) or limits(judged))
+    evidence = spark.createDataFrame([(f"d{k}", f"e{k}", "f", prose(2, k)) for k in range(60)] + [("s", "s", "f", "Too short to cut")], "doc_id string, id string, feed_id string, excerpt string")
+    reads = spark.createDataFrame([(f"r{k}", k, "f", prose(20, k)) for k in range(30)], "doc_id string, read_id long, feed_id string, text string")
+    judged = truncation.judge_ends(evidence, reads)
+    assert seen == [{("evidence", False): 61, ("evidence", True): 60, ("reads", False): 30, ("reads", True): 30}]
+    assert judged.count() == 91 and judged.where("doc_id is null or item_id is null").count() == 0
+
+
 def test_scans(spark):
     clean = prose(60).split(" ")
     lines = [" ".join(clean[k : k + 9]) for k in range(0, len(clean), 9)]
