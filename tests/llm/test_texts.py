@@ -192,6 +192,26 @@ def test_decoding_has_no_bound_on_length():
     assert scans.Words(WORDS).decode("rnodern") == ("modern", "letter") and scans.Words(WORDS, rest).decode("rnodern") is None  # a word of its own among the rare ones
 
 
+def test_words_beyond_the_most_frequent_count_exactly(spark, monkeypatch):
+    text = "the " * 300 + "of " * 200 + "in " * 150 + "measurements " * 60 + "valley " * 40 + "Modern " * 30 + "MODERN " * 10 + "network " * 25 + "burn " * 3 + "Burn " * 3 + "rnodern valIey"
+    reads = spark.createDataFrame([(text,), ("measurernents of the vallcy in the net work",), (None,)], "text string")
+    whole = scans.count_words(reads)
+    monkeypatch.setattr(scans, "MAX_WORDS", 3)
+    few = scans.count_words(reads)
+    assert set(few.exact) == {"the", "of", "in"} and few.total == whole.total
+    for word in [*whole.folded, "modern", "burn", "bum", "absent", "rnodern"]:
+        assert (few.count(word), few.seen(word), few.known(word)) == (whole.count(word), whole.seen(word), whole.known(word))
+        assert all(few.begins(word[:k]) == whole.begins(word[:k]) for k in range(len(word) + 1))
+    for token in ("measurernents", "rnodern", "vallcy", "valIey", "Modern", "MODERN", "Burn", "absent", "the"):
+        assert few.spelled(token) == whole.spelled(token) and few.decode(token) == whole.decode(token)
+    assert few.decode("measurernents") == ("measurements", "letter") and few.spelled("MODERN") == 10
+    assert few.stream("in the net work of thevalley") == whole.stream("in the net work of thevalley") == "in the network of the valley"
+    marked = few.__class__(few.exact, np.ones_like(few.rest), few.others)  # full buckets only cost time
+    assert marked.count("absent") == 0 and marked.count("valley") == 40
+    with_tasks = spark.sparkContext.broadcast(few)
+    assert spark.sparkContext.parallelize(["rnodern"], 1).map(lambda x: with_tasks.value.decode(x)).collect() == [("modern", "letter")]
+
+
 def test_paragraph_breaks_against_plain_dynamic_programming():
     lines = [f"We recorded the rain every few minutes because the valley was held at {i}" for i in range(200)]
     assert [len(p) for p in scans.paragraphs(list(enumerate(lines)), lines)] == [200]
